@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import encoding, packing
+from . import encoding, frequency, packing, sameform
 
-MODULES = (encoding, packing)
+MODULES = (frequency, sameform, encoding, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
