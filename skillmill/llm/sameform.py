@@ -44,24 +44,58 @@ def _styled() -> str:
     return "".join(out)
 
 
-_FOUND: list[regex.Pattern] = []
+_STYLED: set[str] = set()
+_KINDS: dict[str, int] = {}
+_DECEIVES, _OTHER, _DROPPED, _SPACES, _BREAKS = 1, 2, 4, 8, 16
+
+
+def _kind(c: str) -> int:
+    """What a character outside ASCII asks for, as bits; kept for each character of Unicode that occurs."""
+    if not _STYLED:
+        _STYLED.update(_styled())
+    k = _OTHER if regex.match(r"[\p{L}--\p{Latin}--\p{Common}]", c, regex.V1) else 0
+    if _DROP.match(c):
+        k |= _DROPPED | _DECEIVES
+    if _SPACE.match(c):
+        k |= _SPACES | _DECEIVES
+    if _LINE.match(c):
+        k |= _BREAKS
+    if c in _STYLED or regex.match(r"[\p{M}&&[\p{Inherited}\p{Common}]]", c, regex.V1):
+        k |= _DECEIVES
+    _KINDS[c] = k
+    return k
+
+
+def _needs(text: str) -> int:
+    out = 0
+    for c in set(text):
+        if c > "~" or c < " ":
+            out |= k if (k := _KINDS.get(c)) is not None else _kind(c)
+    return out
 
 
 def odd(text: str) -> bool:
     """Whether a text holds a character that is not what it looks like; see p4_found in TESTDATA.md."""
-    if not _FOUND:
-        _FOUND.append(regex.compile(rf"[{regex.escape(_styled())}]|[\p{{M}}&&[\p{{Inherited}}\p{{Common}}]]|{IGNORABLE}|[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f]|[\p{{Zs}}--\x20]", regex.V1))
-    return bool(_FOUND[0].search(text) or _MIXED.search(text))
+    k = _needs(text)
+    return bool(k & _DECEIVES or (k & _OTHER and _MIXED.search(text)))
 
 
 def same_form(text: str) -> str:
     """The consistent form: NFKC, without default-ignorable characters, spaces as U+0020 and line ends as LF,
     look-alike letters in words that also have Latin letters as Latin ones, full case folding, NFKC again."""
-    if text.isascii():
-        return _LINE.sub("\n", _DROP.sub("", text) if not text.isprintable() else text).casefold()
-    t = unicodedata.normalize("NFKC", _DROP.sub("", _LINE.sub("\n", text)))
-    t = _SPACE.sub(" ", _DROP.sub("", t))
-    t = _MIXED.sub(lambda m: m.group().translate(_TO_LATIN), t)
+    k = _needs(text)
+    t = _LINE.sub("\n", text) if k & _BREAKS else text
+    if k & _DROPPED:
+        t = _DROP.sub("", t)
+    if k & _SPACES:
+        t = _SPACE.sub(" ", t)
+    if t.isascii():
+        return t.casefold()
+    t = unicodedata.normalize("NFKC", t)
+    if k & _DECEIVES:  # what styled characters stand for
+        t = _SPACE.sub(" ", _DROP.sub("", t))
+    if k & _OTHER:
+        t = _MIXED.sub(lambda m: m.group().translate(_TO_LATIN), t)
     return unicodedata.normalize("NFKC", t.casefold())
 
 
