@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import encoding, frequency, neardup, packing, sameform
+from . import canonical, encoding, frequency, neardup, packing, sameform
 
-MODULES = (neardup, frequency, sameform, encoding, packing)
+MODULES = (neardup, frequency, sameform, canonical, encoding, packing)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
