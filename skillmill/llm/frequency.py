@@ -18,12 +18,16 @@ NOT_BLANK = r"(?U)[^\s\x1c-\x1f]"
 def per_record_counts(terms: Column) -> Column:
     """array<struct<term, n>> of an array of terms: sorted, then run lengths. Null terms are left out."""
 
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        """``use(value)`` with ``value`` computed once, as a lambda's variable."""
+        return F.element_at(F.transform(F.array(value), use), 1)
+
     def runs(s: Column) -> Column:
         first = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == 1) | (F.element_at(s, i) != F.get(s, i - 2)))
-        return F.transform(first, lambda at, k: F.struct(F.element_at(s, at).alias("term"), (F.coalesce(F.get(first, k + 1), F.size(s) + 1) - at).cast("bigint").alias("n")))
+        return once(first, lambda f: F.transform(f, lambda at, k: F.struct(F.element_at(s, at).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s) + 1) - at).cast("bigint").alias("n"))))
 
     own = F.array_sort(F.filter(terms, lambda t: t.isNotNull()))
-    return F.when(F.size(own) > 0, F.element_at(F.transform(F.array(own), runs), 1))
+    return once(own, lambda s: F.when(F.size(s) > 0, runs(s)))
 
 
 def term_frequencies(records: DataFrame, terms: str = "terms", fewest_rows: int = FEWEST_ROWS, largest_share: float = LARGEST_SHARE, by: str | None = None) -> DataFrame:
