@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import canonical, encoding, frequency, garbled, neardup, packing, sameform
+from . import canonical, encoding, frequency, garbled, neardup, packing, pii, sameform
 
-MODULES = (neardup, frequency, sameform, canonical, encoding, packing, garbled)
+MODULES = (pii, neardup, frequency, sameform, canonical, encoding, packing, garbled)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
