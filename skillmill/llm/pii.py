@@ -35,19 +35,21 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"\b(?:{_WORD})(?:[ ,.-]{{1,2}}(?:{_WORD})){{5,}}\b", re.I)
+_SPELLED = re.compile(rf"\b(?:{_WORD})(?: (?:{_WORD})){{5,}}\b", re.I)
 _AT = r"(?:@|[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|[ \t]+at[ \t]+)"
 _DOT = r"(?:\.|[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)"
-#: An address with at least one disguised sign: a bare "at" needs a disguised dot behind it.
-_DISGUISED = re.compile(rf"[\w.+%-]+(?:[ \t]*[\[({{<][ \t]*(?:at|@)[ \t]*[\])}}>][ \t]*|[ \t]+at[ \t]+(?=[\w-]+[ \t]*(?:[\[({{<]?[ \t]*dot\b)))[\w-]+(?:{_DOT}[\w-]+)+|[\w.+%-]+@[\w-]+(?:[ \t]*[\[({{<][ \t]*dot[ \t]*[\])}}>][ \t]*[\w-]+)+", re.I)
+#: A disguised "at": a bare one needs a disguised dot behind it. The address around it is then looked for on both sides.
+_HIDDEN_AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|[ \t]+at[ \t]+(?=[\w-]+[ \t]*[\[({<]?[ \t]*dot\b)|@(?=[\w-]+[ \t]*[\[({<][ \t]*dot\b)", re.I)
+_HIDDEN_LEFT = re.compile(r"[\w.+%-]+\Z")
+_HIDDEN_RIGHT = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)+", re.I)
 _SIGN = re.compile(rf"(?P<at>{_AT})|(?P<dot>[ \t]*[\[({{<][ \t]*(?:dot|\.)[ \t]*[\])}}>][ \t]*|[ \t]+dot[ \t]+)", re.I)
-_CLUSTER = regex.compile(r"\P{M}\p{M}*|\p{M}")
+_CLUSTER = regex.compile(r"[\x00-\x7f]+(?!\p{M})|\P{M}\p{M}*|\p{M}")
 
 
 class Normal:
     """A normal form and, unless it is the source itself, the source span of each of its characters."""
 
-    __slots__ = ("ends", "source", "starts", "text")
+    __slots__ = ("ends", "low", "source", "starts", "text")
 
     def __init__(self, source: str) -> None:
         self.source = self.text = source
@@ -56,21 +58,29 @@ class Normal:
         k = _needs(source) if not source.isascii() else 0
         if k & _DECEIVES or (k & _OTHER and _MIXED.search(source)):
             self._characters()
-        if "dot" in (low := self.text.lower()) or "(at" in low or "[at" in low:
-            self._rewrite(_DISGUISED, lambda m: self._signs(m.group()))
-        if _SPELLED.search(self.text):
-            self._rewrite(_SPELLED, lambda m: [(DIGIT_WORDS[w.group().lower()], w.start(), w.end()) for w in re.finditer(_WORD, m.group(), re.I)])
+        self.low = low = self.text.lower()
+        if "dot" in low or "(at" in low or "[at" in low or "{at" in low or "<at" in low or "( at" in low or "[ at" in low:
+            self._rewrite(self._disguised(self.text), self._signs)
+        # most texts hold no spelled number; the words are looked for before the costlier pattern
+        if sum(w in DIGIT_WORDS for w in low.split()) >= 5 and _SPELLED.search(self.text):
+            self._rewrite((m.span() for m in _SPELLED.finditer(self.text)), lambda s: [(DIGIT_WORDS[w.group().lower()], w.start(), w.end()) for w in re.finditer(_WORD, s, re.I)])
+        if len(self.text) != len(low):
+            self.low = self.text.lower()
+            if len(self.low) != len(self.text):  # a letter whose lower case is longer
+                self.low = "".join(c.lower()[0] for c in self.text)
 
     def _characters(self) -> None:
         out, starts, ends = [], [], []
         for m in _CLUSTER.finditer(self.source):
             s = m.group()
             if s.isascii():
-                new = s
-            else:
-                new = unicodedata.normalize("NFKC", _DROP.sub("", s))
-                if new.isspace() and new not in "\n\r\t":
-                    new = " "
+                out.append(s)
+                starts += range(m.start(), m.end())
+                ends += range(m.start() + 1, m.end() + 1)
+                continue
+            new = unicodedata.normalize("NFKC", _DROP.sub("", s))
+            if new.isspace() and new not in "\n\r\t":
+                new = " "
             for c in new:
                 out.append(c)
                 starts.append(m.start())
@@ -88,19 +98,29 @@ class Normal:
             at = m.end()
         return parts + [(c, at + i, at + i + 1) for i, c in enumerate(s[at:])]
 
-    def _rewrite(self, pattern: re.Pattern, parts: Callable[[re.Match], list[tuple[str, int, int]]]) -> None:
-        """Replace matches by parts: (character, start, end within the match)."""
+    @staticmethod
+    def _disguised(t: str) -> Iterator[tuple[int, int]]:
+        end = 0
+        for m in _HIDDEN_AT.finditer(t):
+            if m.start() < end or not (right := _HIDDEN_RIGHT.match(t, m.end())):
+                continue
+            if left := _HIDDEN_LEFT.search(t[max(end, m.start() - _LONGEST_LOCAL) : m.start()]):
+                end = right.end()
+                yield m.start() - len(left.group()), end
+
+    def _rewrite(self, spans: Iterator[tuple[int, int]], parts: Callable[[str], list[tuple[str, int, int]]]) -> None:
+        """Replace spans by parts: (character, start, end within the span)."""
         old_s, old_e, t = self.starts or range(len(self.text)), self.ends or range(1, len(self.text) + 1), self.text
         out, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(t):
-            out.append(t[at : m.start()])
-            starts += old_s[at : m.start()]
-            ends += old_e[at : m.start()]
-            for c, lo, hi in parts(m):
+        for begin, end in spans:
+            out.append(t[at:begin])
+            starts += old_s[at:begin]
+            ends += old_e[at:begin]
+            for c, lo, hi in parts(t[begin:end]):
                 out.append(c)
-                starts.append(old_s[m.start() + lo])
-                ends.append(old_e[m.start() + hi - 1])
-            at = m.end()
+                starts.append(old_s[begin + lo])
+                ends.append(old_e[begin + hi - 1])
+            at = end
         if not at:
             return
         self.text = "".join([*out, t[at:]])
@@ -112,7 +132,10 @@ class Normal:
 
 # ---------------------------------------------------------------- addresses, numbers, streets
 
-_EMAIL = re.compile(r"[^\W_](?:[\w.+%'-]*[\w+%-])?@(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+_LOCAL = re.compile(r"[^\W_](?:[\w.+%'-]*[\w+%-])?\Z")
+_DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
+#: Characters before the sign that are looked at; a local part has at most 64.
+_LONGEST_LOCAL = 128
 
 #: What stands before numbers that identify things, not people.
 _THING = re.compile(r"(?:order|invoice|ticket|certificate|course|release|score|reference|ref|rank|record|records|item|batch|serial|version|build)\b[^\w\n]{0,3}(?:(?:no|nr|num|number|ref|id)\b\.?)?[ :#,.-]{0,3}$", re.I)
@@ -121,17 +144,24 @@ _ID_LABEL = (
     r"tax id|TIN|steuer-?id(?:nr)?|steuernummer|n° ?(?:de )?(?:SS|s[ée]curit[ée] sociale)|NIR|DNI|NIE|NIF|passport(?: (?:no|nr|number))?|passeport|reisepass|pasaporte|"
     r"driving licen[cs]e(?: (?:no|number))?|driver'?s licen[cs]e|führerschein|permis de conduire|permiso de conducir|personalausweis)"
 )
-_ID = re.compile(
-    rf"(?:\b{_ID_LABEL}\b\.?[ \t]*[:#]?[ \t]*(?P<labelled>(?=[A-Z0-9 -]*\d[A-Z0-9 -]*\d[A-Z0-9 -]*\d[A-Z0-9 -]*\d[A-Z0-9 -]*\d)[A-Z0-9]+(?:[ -](?=[A-Z]?\d|[A-Z]\b)[A-Z0-9]+)*))"
-    r"|(?<![\w-])(?P<bare>\d{3}-\d\d-\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[12] \d\d \d\d \d[\dAB] \d{3} \d{3} \d\d|\d{8}-[A-Z]|[XYZ]-?\d{7}-?[A-Z]|\d\d \d{3} \d{3} \d{3}|\d\d-\d{7}|\d\d-\d{4}-\d{4}|[A-Z]{4}\d{6}[A-Z]{2}\d|[A-Z]{1,2}\d{7})(?![\w-])",
+_LABEL = re.compile(rf"\b{_ID_LABEL}\b\.?[ \t]*[:#]?[ \t]*\Z", re.I)
+#: Five digits or more, at most a space or hyphen apart; with the letters right before them, an identity number may begin there.
+_NUMBER = re.compile(r"(?<!\d)\d(?:[ -]?\d){4}")
+_LETTERS = re.compile(r"(?<![\w-])(?:[A-Za-z]{2} |[A-Za-z]{1,4}|)\Z")
+_LABELLED = re.compile(r"[A-Z0-9]+(?:[ -](?:[A-Z]?\d[A-Z0-9]*|[A-Z]\b))*", re.I)
+_BARE = re.compile(
+    r"(?:\d{3}-\d\d-\d{4}|[A-Z]{2} ?\d\d ?\d\d ?\d\d ?[A-D]|[12] \d\d \d\d \d[\dAB] \d{3} \d{3} \d\d|\d{8}-[A-Z]|[XYZ]-?\d{7}-?[A-Z]|"
+    r"\d\d \d{3} \d{3} \d{3}|\d\d-\d{7}|\d\d-\d{4}-\d{4}|[A-Z]{4}\d{6}[A-Z]{2}\d|[A-Z]{1,2}\d{7})(?![\w-])",
     re.I,
 )
+#: Characters before a number that are looked at for its label.
+_LABEL_ROOM = 48
 _PHONE = re.compile(
     r"(?<![\w@.+/-])(?:"
     r"\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)|\d{1,5})(?:[ ./-]?\d{2,8}){1,5}"
     r"|(?:\+?1[-. ]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}"
     r"|0\d(?:[ .-]\d\d){4}"
-    r"|0\d{1,4}[ /-]\d{2,8}(?:[ -]\d{2,5})?"
+    r"|(?!0\d/(?:19|20)\d\d)0\d{1,4}[ /-]\d{2,8}(?:[ -]\d{2,5})?"
     r"|\(0\d{1,4}\)[ /-]?\d{3,8}(?:[ -]\d{2,5})?"
     r"|00\d{10,12}|0\d{9,10}|[2-9]\d{9}"
     r")(?![\w@]|[.-]\d)"
@@ -140,16 +170,14 @@ _NAME_WORD = r"(?:[A-ZÀ-ÖØ-Þ][\w'’-]*)"
 _SUFFIX = (
     r"(?:Street|St|Road|Rd|Avenue|Ave|Lane|Ln|Court|Ct|Mews|Boulevard|Blvd|Drive|Dr|Way|Close|Place|Pl|Terrace|Crescent|Gardens|Square|Sq|Row|Hill|Grove|Parkway|Walk)"
 )
-_STREET = re.compile(
-    rf"(?<![\w.-])(?:"
-    rf"\d{{1,5}}[a-zA-Z]?(?:-\d{{1,4}})?,? (?:(?:[NSEW]\.?|North|South|East|West) )?(?:{_NAME_WORD} ){{1,3}}?(?:{_SUFFIX}|{_SUFFIX.upper()})\b\.?"
-    rf"|\d{{1,5}}[a-zA-Z]?(?: (?:bis|ter|quater|BIS|TER))?,? (?i:rue|avenue|boulevard|chemin|impasse|all[ée]e|place|quai|cours|route|square|passage)(?: (?i:de la|de l['’]|des|du|de|d['’]))* ?(?:{_NAME_WORD})(?:[ -]{_NAME_WORD})*"
-    rf"|{_NAME_WORD[:-1]}(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|STRASSE|STRAßE|WEG|PLATZ|GASSE|ALLEE)) \d{{1,4}} ?[a-zA-Z]?(?![\w])"
-    rf"|(?:{_NAME_WORD} )?(?:Straße|Strasse|Weg|Platz|Gasse|Allee) \d{{1,4}} ?[a-zA-Z]?(?![\w])"
-    rf"|(?i:calle|avenida|avda\.?|plaza|paseo|camino|carrer|c/)(?: (?i:de la|de los|de las|del|de))? (?:{_NAME_WORD} ?)+,? \d{{1,4}} ?[a-zA-Z]?(?![\w])"
-    rf")"
+_STREET_NUMBER_FIRST = re.compile(
+    rf"(?<![\w.-])\d{{1,5}}(?:[a-zA-Z]?(?:-\d{{1,4}})?,? (?:(?:[NSEW]\.?|North|South|East|West) )?(?:{_NAME_WORD} ){{1,3}}?(?:{_SUFFIX}|{_SUFFIX.upper()})\b\.?"
+    rf"|[a-zA-Z]?(?: (?:bis|ter|quater|BIS|TER))?,? (?i:rue|avenue|boulevard|chemin|impasse|all[ée]e|place|quai|cours|route|square|passage)(?: (?i:de la|de l['’]|des|du|de|d['’]))* ?(?:{_NAME_WORD})(?:[ -]{_NAME_WORD})*)"
 )
-_STREET_HINT = re.compile(rf"\d.{{0,40}}(?:{_SUFFIX}\b|{_SUFFIX.upper()}\b)|(?:stra(?:ß|ss)e|str\.|weg|platz|gasse|allee|ring|damm|ufer) \d|\b(?:rue|avenue|boulevard|chemin|impasse|place|quai|cours|route|calle|avenida|plaza|paseo|camino)\b", re.I)
+_STREET_ENDING = re.compile(r"(?:straße|strasse|str\.|weg|platz|gasse|allee|ring|damm|ufer|Straße|Strasse|Weg|Platz|Gasse|Allee|STRASSE|STRAßE|WEG|PLATZ|GASSE|ALLEE) \d{1,4}[a-zA-Z]?(?!\w)")
+_STREET_BEGIN = re.compile(rf"(?<![\w.-]){_NAME_WORD} ?\Z")
+_STREET_TYPE_FIRST = re.compile(rf"(?<![\w.-])(?i:calle|avenida|avda\.?|plaza|paseo|camino|carrer|c/)(?: (?i:de la|de los|de las|del|de))? {_NAME_WORD}(?: {_NAME_WORD})*,? \d{{1,4}}[a-zA-Z]?(?!\w)")
+_TYPES = ("calle", "avenida", "avda", "plaza", "paseo", "camino", "carrer", "c/")
 
 # ---------------------------------------------------------------- names
 
@@ -170,11 +198,15 @@ _TITLE = r"(?:Mr|Mrs|Ms|Miss|Dr|Prof|Professor|Herr|Herrn|Frau|Mme|Mlle|Madame|M
 _SEGMENT_END = r"(?=\s*$|[ \t]*[\r\n]|  | [|•·/] | [-–] |, (?=[^\s,]*[@\d])|,? (?:E-?mail|Tel|Mobile|Cell|Address|Phone|ph|M)\b|[ \t]*[<(])"
 #: The head of a text: a label or title, a name in any case, and the end of the segment or a role.
 _HEAD = re.compile(rf"\s*(?P<label>(?:CV \| ?|Name ?: ?|Nom ?: ?|Nombre ?: ?|Curriculum vitae (?:of|de|von) |(?:CV|Résumé|Resume|Lebenslauf) (?:of|de|von) |{_TITLE}[ ])+)?(?P<name>{_full(_ANY)}){_SEGMENT_END}", re.I)
-#: What introduces a person's name in running text. A name is then taken whether or not its parts are known.
-_CUE = re.compile(
-    rf"(?:(?i:\b(?:Signed|Signé|Gezeichnet|Firmado|Referee|Reference|Referenz|Referencias?|Références?|Ansprechpartner(?:in)?|Contact|Contacto|Kontakt|Name|Nom|Nombre|Line manager|Manager)) ?: ?|(?i:\b(?:reported to|reporting to|bajo la dirección de|sous la direction de|zusammen mit|together with|avec|junto con|unter der leitung von|managed by|supervised by)) |(?i:\btook over [^.\n]{{1,40}}? from ))(?P<title>(?i:{_TITLE})[ ])?(?P<name>{_full(_CAP)})"
-)
-_TITLED = re.compile(rf"(?<![\w.])(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Herrn|Frau|Mme|Mlle|Sra|Sr|Srta|MR|MRS|MS|DR|PROF|HERR|FRAU|MME|SRA|SR)\.? (?P<name>{_full(_CAP)})")
+# What introduces a person's name in running text, lower case. The name is then taken whether or not its parts are known.
+CUE_LABELS = frozenset("signed signé gezeichnet firmado referee reference referenz referencias référence références ansprechpartner ansprechpartnerin contact contacto kontakt name nom nombre manager".split())
+CUES = ("reported to ", "reporting to ", "bajo la dirección de ", "sous la direction de ", "zusammen mit ", "together with ", "junto con ", "unter der leitung von ", "managed by ", "supervised by ", "took over ")
+_LAST_WORD = re.compile(r"\w*\Z")
+_FROM = re.compile(r"[^.\n]{1,40}? from ", re.I)
+_CUED = re.compile(rf"(?P<title>(?i:{_TITLE})[ ])?(?P<name>{_full(_CAP)})")
+_SECOND = re.compile(rf"(?i: and | und | et | y )(?P<name>{_full(_CAP)})")
+TITLES = frozenset("Mr Mrs Ms Miss Dr Prof Herr Herrn Frau Mme Mlle Sra Sr Srta MR MRS MS DR PROF HERR FRAU MME SRA SR".split())
+_AFTER_TITLE = re.compile(rf"\.? (?P<name>{_full(_CAP)})")
 _WORDS = re.compile(rf"(?<![\w'’@.-]){_CAP}(?![\w@])")
 _BEFORE = re.compile(rf"(?:(?<![\w.])(?:{_CAP}|{_INITIAL}) )?(?<![\w.])(?:{_CAP}|{_INITIAL}) ?{_PARTICLE}?$")
 #: Behind a family name: what makes it part of the name of a firm, place or product.
@@ -245,7 +277,7 @@ class Detector:
 
     def find(self, source: str) -> list[tuple[int, int, str]]:
         n = Normal(source)
-        t = n.text
+        t, low = n.text, n.low
         found: list[tuple[int, int, str]] = []
         taken: list[tuple[int, int]] = []
 
@@ -254,28 +286,38 @@ class Detector:
                 taken.append((lo, hi))
                 found.append((*n.span(lo, hi), kind))
 
-        if "@" in t:
-            for m in _EMAIL.finditer(t):
-                take(*m.span(), "EMAIL")
-        for m in _ID.finditer(t):
-            which = "labelled" if m.group("labelled") else "bare"
-            lo, hi = m.span(which)
-            if which == "bare" and _THING.search(t, max(0, lo - 30), lo):
+        i = t.find("@")
+        while i >= 0:
+            if (host := _DOMAIN.match(t, i + 1)) and (local := _LOCAL.search(t[max(0, i - _LONGEST_LOCAL) : i])):
+                take(i - len(local.group()), host.end(), "EMAIL")
+            i = t.find("@", i + 1)
+        for m in _NUMBER.finditer(t):
+            letters = _LETTERS.search(t[max(0, m.start() - 6) : m.start()])
+            if not letters:
                 continue
-            take(lo, hi, "ID")
+            for lo in dict.fromkeys((m.start() - len(letters.group()), m.start() if letters.group()[-1:] == " " else m.start() - len(letters.group()))):
+                if (v := _LABELLED.match(t, lo)) and sum(c.isdigit() for c in v.group()) >= 5 and _LABEL.search(t[max(0, lo - _LABEL_ROOM) : lo]):
+                    take(*v.span(), "ID")
+                elif (v := _BARE.match(t, lo)) and not _THING.search(t, max(0, lo - 30), lo):
+                    take(*v.span(), "ID")
         for m in _PHONE.finditer(t):
             if 9 <= sum(c.isdigit() for c in m.group()) <= 14 and not _THING.search(t, max(0, m.start() - 30), m.start()):
                 take(*m.span(), "PHONE")
-        if _STREET_HINT.search(t):
-            for m in _STREET.finditer(t):
-                s = m.group()
-                dot = s.endswith(".") and not re.search(r"\b(?:St|Rd|Ave|Ln|Ct|Blvd|Dr|Pl|Sq)\.$", s, re.I)
-                take(m.start(), m.end() - dot, "STREET")
-        for lo, hi in self._people(t):
+        for m in _STREET_NUMBER_FIRST.finditer(t):
+            s = m.group()
+            dot = s.endswith(".") and not re.search(r"\b(?:St|Rd|Ave|Ln|Ct|Blvd|Dr|Pl|Sq)\.$", s, re.I)
+            take(m.start(), m.end() - dot, "STREET")
+        for m in _STREET_ENDING.finditer(t):
+            if b := _STREET_BEGIN.search(t[max(0, m.start() - 60) : m.start()]):
+                take(m.start() - len(b.group()), m.end(), "STREET")
+        if any(w in low for w in _TYPES):
+            for m in _STREET_TYPE_FIRST.finditer(t):
+                take(*m.span(), "STREET")
+        for lo, hi in self._people(t, low):
             take(lo, hi, "NAME")
         return sorted(found)
 
-    def _people(self, t: str) -> Iterator[tuple[int, int]]:
+    def _people(self, t: str, low: str) -> Iterator[tuple[int, int]]:
         kind = self.names.kind
         if (m := _HEAD.match(t)) is not None:
             words = re.findall(_ANY, m.group("name"))
@@ -287,22 +329,25 @@ class Detector:
             titled = bool(m.group("label"))
             if parts and plain and (titled or (len(words) >= 2 and alike and (shaped or alike >= 2 or role)) or (len(words) >= 2 and role and shaped) or (len(words) in (2, 3) and shaped and len(parts) >= 2)):
                 yield m.span("name")
-        for m in _CUE.finditer(t):
-            lo, hi = m.span("name")
-            while True:
-                lo, hi = self._trim(t, lo, hi, bool(m.group("title")))
-                if hi > lo:
-                    yield lo, hi
-                # "A and B": the second name of a pair
-                if hi > lo and (x := re.compile(rf"(?i: and | und | et | y ){_PARTICLE}?(?P<name>{_full(_CAP)})").match(t, hi)) and any(kind(w) for w in re.findall(_CAP, x.group("name"))):
-                    lo, hi = x.span("name")
-                    continue
-                break
-        for m in _TITLED.finditer(t):
-            lo, hi = self._trim(t, *m.span("name"), True)
-            if hi > lo:
+        for m in self._cued(t, low):
+            lo, hi = self._trim(t, *m.span("name"), bool(m.group("title")))
+            while hi > lo:
                 yield lo, hi
-        words = [(m.start(), m.end(), k) for m in _WORDS.finditer(t) if (k := kind(m.group()))]
+                # "A and B": the second name of a pair
+                x = _SECOND.match(t, hi)
+                if not x or not any(kind(w) for w in re.findall(_CAP, x.group("name"))):
+                    break
+                lo, hi = self._trim(t, *x.span("name"), False)
+        words = []
+        for m in _WORDS.finditer(t):
+            w = m.group()
+            if w in TITLES:
+                if x := _AFTER_TITLE.match(t, m.end()):
+                    lo, hi = self._trim(t, *x.span("name"), True)
+                    if hi > lo:
+                        yield lo, hi
+            elif k := kind(w):
+                words.append((*m.span(), k))
         for i, (lo, hi, k) in enumerate(words):
             if k == "family":
                 if _FIRM.match(t, hi):
@@ -312,6 +357,22 @@ class Detector:
                 elif i + 1 < len(words) and words[i + 1][2] == "given" and t[hi : words[i + 1][0]] in (", ", " ") and (t[hi] == "," or t[lo:hi].isupper()):
                     yield lo, words[i + 1][1]
 
+    @staticmethod
+    def _cued(t: str, low: str) -> Iterator[re.Match]:
+        i = low.find(": ")
+        while i >= 0:
+            if _LAST_WORD.search(low[max(0, i - 24) : i].rstrip()).group() in CUE_LABELS and (m := _CUED.match(t, i + 2)):
+                yield m
+            i = low.find(": ", i + 2)
+        for cue in CUES:
+            i = low.find(cue)
+            while i >= 0:
+                at = i + len(cue)
+                if (not i or not low[i - 1].isalnum()) and (cue != "took over " or (f := _FROM.match(t, at))):
+                    if m := _CUED.match(t, f.end() if cue == "took over " else at):
+                        yield m
+                i = low.find(cue, at)
+
     def _given(self, t: str, lo: int, family: int) -> int:
         """Where the given names before a family name begin: at a known one, an initial, or the family's own start."""
         best = family
