@@ -15,14 +15,22 @@ def _aliases(aliases: Column | str) -> Column:
     return F.filter(F.transform(F.coalesce(_c(aliases), F.array().cast("array<string>")), lambda a: collapse(F.lower(strip(a)))), lambda a: a.isNotNull() & (a != ""))
 
 
-def first_mention(text: Column | str, aliases: Column | str) -> Column:
-    """Offset of the first alias in the lower-cased, collapsed text; -1 if there is none. No word ends are asked for."""
+def searchable(text: Column | str) -> Column:
+    """The lower-cased, collapsed text in which mentions are looked for."""
+    return strip(collapse(F.lower(_c(text))))
+
+
+def first_mention(text: Column | str, aliases: Column | str, hay: Column | None = None) -> Column:
+    """Offset of the first alias in the lower-cased, collapsed text; -1 if there is none. No word ends are asked for.
+
+    ``hay`` is that text where it is there already: computed once for a document, not for each of its skills.
+    """
 
     def found(hay: Column) -> Column:
         at = F.filter(F.transform(_aliases(aliases), lambda a: F.instr(hay, a)), lambda p: p > 0)
         return F.coalesce(F.array_min(at) - 1, F.lit(-1))
 
-    return let(strip(collapse(F.lower(_c(text)))), found)
+    return let(searchable(text) if hay is None else hay, found)
 
 
 def _year_pattern(a: Column) -> Column:
@@ -45,11 +53,11 @@ def level_of(text: Column | str, aliases: Column | str) -> Column:
             .otherwise(by_years)
         )
 
-    hay = F.coalesce(strip(collapse(F.lower(_c(text)))), F.lit(""))
+    hay = F.coalesce(searchable(text), F.lit(""))
     return let(hay, lambda h: let(_aliases(aliases), lambda names: graded(h, names)))
 
 
-def level_near(text: Column | str, aliases: Column | str, window: int = WINDOW) -> Column:
+def level_near(text: Column | str, aliases: Column | str, window: int = WINDOW, hay: Column | None = None) -> Column:
     """``level_of`` the text around the first mention. The offset is found in the collapsed text and used in the text as it
     is, so the window drifts where white space was collapsed; kept as the result is relied on. No mention: the whole text."""
     text = _c(text)
@@ -58,4 +66,4 @@ def level_near(text: Column | str, aliases: Column | str, window: int = WINDOW)
         lo = F.greatest(at - window, F.lit(0))
         return F.when(at < 0, text).otherwise(F.substring(text, lo + 1, at + window - lo))
 
-    return let(first_mention(text, aliases), lambda at: let(part(at), lambda p: level_of(p, aliases)))
+    return let(first_mention(text, aliases, hay), lambda at: let(part(at), lambda p: level_of(p, aliases)))

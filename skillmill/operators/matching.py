@@ -17,29 +17,17 @@ def sized(df: DataFrame, most: int = BROADCAST_PHRASES) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def _grams(words: Column, most: int) -> Column:
-    """All runs of 1 to ``most`` neighbouring words, joined by a space."""
-
-    def of(n: int) -> Column:
-        starts = F.slice(words, 1, F.greatest(F.size(words) - (n - 1), F.lit(0)))
-        return F.transform(starts, lambda w, i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(n)]))
-
-    return F.concat(words, *[of(n) for n in range(2, most + 1)])
-
-
-def _longest(rows: DataFrame) -> int:
-    return rows.agg(F.max(F.size(F.split("phrase", " ")))).first()[0] or 0
-
-
-def _words_join(docs: DataFrame, key: list[str], text: str, phrases: DataFrame, separator: str) -> DataFrame:
-    """Documents and plain phrases whose words follow each other in them."""
-    most = _longest(phrases)
-    if not most:
-        return docs.select(*key, F.lit(None).cast("string").alias("canonical")).where("false")
-    segments = F.split(F.lower(F.col(text)), separator)
-    words = F.transform(segments, lambda s: F.filter(F.split(s, rf"(?U){WHITE}+"), lambda w: w != ""))
-    grams = F.flatten(F.transform(words, lambda ws: _grams(ws, most)))
-    return docs.select(*key, F.explode(F.array_distinct(grams)).alias("phrase")).join(sized(phrases.select("canonical", "phrase").distinct()), "phrase").select(*key, "canonical")
+def _words_join(docs: DataFrame, key: list[str], text: str, phrases: DataFrame, separator: str, between: str) -> DataFrame:
+    """Documents and plain phrases whose words follow each other in them: ``separator`` ends a run of words, ``between`` stands
+    between two. Each word of a document meets the phrases that begin with it; then the words behind it are compared."""
+    runs = docs.select(*key, F.explode(F.split(F.lower(F.col(text)), separator)).alias("_run"))
+    words = runs.select(*key, F.split(F.trim("_run"), between).alias("_words"))
+    placed = words.select(*key, "_words", F.posexplode("_words").alias("_at", "_word"))
+    own = phrases.select("canonical", "phrase", F.split("phrase", " ").alias("_p")).distinct()
+    begun = own.select("canonical", "phrase", F.get("_p", F.lit(0)).alias("_word"), F.size("_p").alias("_n"))
+    met = placed.join(sized(begun), "_word")
+    alike = (F.col("_n") == 1) | (F.array_join(F.slice("_words", F.col("_at") + 1, F.col("_n")), " ") == F.col("phrase"))
+    return met.where(alike).select(*key, "canonical")
 
 
 def _anchored(docs: DataFrame, key: list[str], text: str, phrases: DataFrame, test: Column) -> DataFrame:
@@ -68,7 +56,7 @@ def match_phrases(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", t
     """
     docs = docs.select(key, F.col(text).alias("_text")).where("_text is not null")
     plain = F.col("phrase").rlike(PLAIN)
-    first = _words_join(docs, [key], "_text", dictionary.where(plain), r"(?U)[^\w ]+| {2,}")
+    first = _words_join(docs, [key], "_text", dictionary.where(plain), r"(?U)[^\w ]+| {2,}", " ")
     low = F.col("low")
     whole = F.call_function("rlike", low, F.concat(F.lit(r"(?U)(?<!\w)"), quoted("phrase"), F.lit(r"(?!\w)")))
     others = dictionary.where(~plain)
@@ -86,7 +74,7 @@ def match_rules(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", tex
     parts = docs.select(key, F.explode(sentences(text)).alias("_s"))
     simple = is_simple(F.col("phrase"))
     # a word of a simple alias ends where a character outside [A-Za-z0-9_] of any script stands
-    first = _words_join(parts, [key], "_s", dictionary.where(simple).withColumn("phrase", F.regexp_replace("phrase", " +", " ")), r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]+")
+    first = _words_join(parts, [key], "_s", dictionary.where(simple).withColumn("phrase", F.regexp_replace("phrase", " +", " ")), r"(?U)[^\p{L}\p{N}_\s\x1c-\x1f]+", rf"(?U){WHITE}+")
     others = dictionary.where(~simple)
     if others.isEmpty():
         return first.distinct()

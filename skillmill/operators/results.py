@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as cfg
-from ..functions.levels import level_near
+from ..functions.levels import level_near, searchable
 from ..functions.text import json_object, strip, without_fence, without_trailing_commas
+from ..session import spread_by
 from .dictionary import last_writer
 from .matching import sized
 
@@ -48,8 +49,8 @@ def unite_hits(rule: DataFrame, vector: DataFrame | None, key: str = "doc_id", s
 def add_levels(hits: DataFrame, docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``hits`` with ``level``, read around the first mention; a skill that is no entry is its own alias."""
     lists = rows.groupBy(F.col("canonical").alias("skill")).agg(F.array_sort(F.collect_set("phrase")).alias("_aliases"))
-    joined = hits.join(sized(lists), "skill", "left").join(docs.select(key, F.col(text).alias("_text")), key)
-    return joined.withColumn("level", level_near("_text", F.coalesce("_aliases", F.array("skill")))).drop("_text", "_aliases")
+    joined = spread_by(hits.join(sized(lists), "skill", "left"), key).join(docs.select(key, F.col(text).alias("_text"), searchable(text).alias("_hay")), key)
+    return joined.withColumn("level", level_near("_text", F.coalesce("_aliases", F.array("skill")), hay=F.col("_hay"))).drop("_text", "_hay", "_aliases")
 
 
 def attach_levels(final: DataFrame, levels: DataFrame, key: str = "doc_id") -> DataFrame:

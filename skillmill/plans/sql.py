@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from .. import config as cfg
-from ..functions.text import WHITE  # noqa: F401
 
 # ---------------------------------------------------------------- pieces
 
@@ -17,7 +16,7 @@ def _strip(e: str) -> str:
 
 
 def _norm(e: str) -> str:
-    return rf"regexp_replace(lower({_strip(e)}), '{WS}+', ' ', 'g')"
+    return rf"regexp_replace({_lower(_strip(e))}, '{WS}+', ' ', 'g')"
 
 
 def _list(words: tuple[str, ...]) -> str:
@@ -266,6 +265,8 @@ UNION SELECT doc_id, canonical FROM sentences s JOIN rules r ON contains(s.sente
   SELECT 'resume' AS source, {_clean_corpus('Resume_str')} AS text FROM resume UNION ALL SELECT 'pdf', {_clean_corpus('text')} FROM extract_text_from_pdf UNION ALL SELECT 'documents', {_clean_corpus('text')} FROM documents
 ) WHERE text <> '' GROUP BY source""",
     "html_to_text": f"SELECT row_id, {_strip(rf'''regexp_replace({_HTML}, '{WS}+', ' ', 'g')''')} AS text FROM resume WHERE Resume_html IS NOT NULL",
+    "page_clean": f"SELECT row_id, regexp_replace({_PAGE}, '(?m)^{WS}+|{WS}+$', '', 'g') AS text FROM resume WHERE Resume_str IS NOT NULL",
+    "resume_table_corpus": f"SELECT * FROM (SELECT 'resume' AS source, row_id::VARCHAR AS doc_id, {_clean_corpus(f'CASE WHEN Resume_str IS NOT NULL THEN Resume_str ELSE {_HTML} END')} AS text FROM resume) WHERE text <> ''",
     "sentence_split": f"WITH {SENTENCES} SELECT doc_id, pos, sentence FROM sentences",
     "name_clean": rf"WITH {BUILDS} SELECT DISTINCT canonical AS name, {_clean_name('canonical')} AS cleaned, {_norm('canonical')} AS normalised, regexp_full_match(lower(canonical), '[a-z0-9 ]+') AS simple FROM builds",
     "reverse_alias_index": f"WITH {CANON} SELECT phrase, array_to_string(list_sort(list(DISTINCT canonical)), '|') AS canonicals FROM canon GROUP BY phrase",

@@ -56,6 +56,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffle ``df`` by keys into as many partitions as the session shuffles into, at least one for each core.
+
+    The adaptive planner joins partitions that are small in bytes; where a row's work is large for its bytes,
+    that would leave the work to one core. A number given explicitly is kept.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder of ``spark.checkpoint.dir``.
 
