@@ -26,20 +26,32 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def _matrix(skills: DataFrame, name: str, vector: str) -> tuple[list, np.ndarray]:
-    """The skill side in order of name. It grows with the dictionary, not with the data; its size is checked."""
-    width = skills.select(F.size(vector).alias("n")).where("n > 0").agg(F.max("n")).first()[0] or 1
-    rows = skills.where(f"{vector} is not null").select(name, vector).orderBy(name).limit(MOST_NUMBERS // width + 1).collect()
-    if len(rows) * width > MOST_NUMBERS:
-        raise ValueError("the skill vectors are too many to be sent to every worker; use similar_pairs_shuffled")
-    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
+    """The skill side in order of name; its size has been checked."""
+    rows = skills.select(name, vector).orderBy(name).collect()
+    width = max((len(r[1]) for r in rows), default=0)
+    rows = [r for r in rows if len(r[1]) == width]
+    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), width)
 
 
-def similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float = 0.6) -> DataFrame:
+def similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float = 0.6, most: int = MOST_NUMBERS) -> DataFrame:
     """``key, name, similarity`` of every pair at or above ``threshold``: one matrix product for each batch of items.
 
-    The skill matrix is sent to the workers (checked size), so items are neither shuffled nor paired up row by row.
-    Rows with a null vector or one of another length give nothing.
+    The skill matrix is sent to the workers, so items are neither shuffled nor paired up row by row. If it has more than
+    ``most`` numbers, the items meet it in blocks of that size, one after the other. Rows with a null vector or one of
+    another length give nothing.
     """
+    skills = skills.where(F.col(name).isNotNull() & (F.size(skill_vector) > 0))
+    n, width = skills.agg(F.count("*"), F.max(F.size(skill_vector))).first()
+    blocks = max(1, -(-n * (width or 0) // most))
+    out = None
+    for b in range(blocks):
+        own = skills if blocks == 1 else skills.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b)
+        got = _block_similarities(items, own, key, vector, name, skill_vector, threshold)
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _block_similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float) -> DataFrame:
     names, m = _matrix(skills, name, skill_vector)
     kinds = [items.schema[key].dataType.simpleString(), skills.schema[name].dataType.simpleString()]
     if not names:
@@ -50,13 +62,13 @@ def similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, nam
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, mat = sent.value
         for b in batches:
-            rows = [i for i, v in enumerate(b.column(1).to_pylist()) if v is not None and len(v) == mat.shape[1] and None not in v]
+            vectors = b.column(1).to_pylist()
+            rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == mat.shape[1] and None not in v]
             for at in range(0, len(rows), 1024):
-                part = rows[at : at + 1024]
-                x = np.array([b.column(1)[i].as_py() for i in part], np.float64)
-                s = x @ mat.T
+                part = np.array(rows[at : at + 1024])
+                s = np.array([vectors[i] for i in part], np.float64) @ mat.T
                 i, j = np.nonzero(s >= threshold)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.array(part)[i])), pa.array([own[k] for k in j], name_type), pa.array(s[i, j])], names=["key", "name", "similarity"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part[i])), pa.array([own[k] for k in j], name_type), pa.array(s[i, j])], names=["key", "name", "similarity"])
 
     got = items.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInArrow(run, f"key {kinds[0]}, name {kinds[1]}, similarity double")
     return got.toDF(key, name, "similarity")
