@@ -70,14 +70,17 @@ class _Near:
     """Words by edit distance: words within k edits share a form with up to k characters left out."""
 
     def __init__(self, words: Iterator[str], allowed: Callable[[int], int] = allowed) -> None:
-        self.allowed, self.of = allowed, defaultdict(set)
+        self.allowed, self.of, self.longest = allowed, defaultdict(set), 0
         for w in words:
+            self.longest = max(self.longest, len(w))
             for v in _deletes(w, allowed(len(w))):
                 self.of[v].add(w)
 
     def find(self, word: str) -> list[tuple[str, int]]:
         n = len(word)
         most = max(self.allowed(n + k) for k in range(4))
+        if n > self.longest + most:  # longer than any word within reach: however long, it costs nothing
+            return []
         near = set().union(*(self.of.get(v, ()) for v in _deletes(word, most)))
         return [(w, d) for w in sorted(near) if (d := osa(word, w, self.allowed(len(w)))) <= self.allowed(len(w))]
 
