@@ -413,7 +413,7 @@ _MADE: dict[int, Detector] = {}
 
 
 def _detector_of(df: DataFrame, hints: DataFrame) -> Callable[[], Detector]:
-    rows = [(r[0], r[1]) for r in hints.select("part_kind", "name_part").where("name_part is not null").limit(MOST_HINTS + 1).collect()]
+    rows = [(r[0], r[1]) for r in hints.select("part_kind", "name_part").where("part_kind is not null and name_part is not null").limit(MOST_HINTS + 1).collect()]
     if len(rows) > MOST_HINTS:
         raise ValueError("the list of name parts is too long to be sent to every worker")
     sent, made = df.sparkSession.sparkContext.broadcast(rows), hash(tuple(sorted(rows)))
