@@ -43,14 +43,14 @@ def _blocks(n: Column, own: Column) -> Column:
 
 
 def _self_join(df: DataFrame, key: list[str], keep: list[str], count: Column, by: Column) -> DataFrame:
-    """Pairs of rows with equal ``key`` in columns a_.. and b_.., each unordered pair of rows at least once in either
-    order; keys of more than BLOCK rows (``count``) are met in pairs of blocks, cut by the hash ``by``."""
+    """Pairs of rows with equal ``key`` and different id in columns a_.. and b_.., each unordered pair once;
+    keys of more than BLOCK rows (``count``) are met in pairs of blocks, cut by the hash ``by``."""
     n = F.ceil(count / BLOCK).cast("int")
     rows = df.withColumn("_n", n).withColumn("_own", F.pmod(by, F.col("_n")).cast("int"))
     rows = rows.select(*key, *keep, "_own", F.explode(F.when(F.col("_n") <= 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(_blocks(F.col("_n"), F.col("_own")))).alias("_b"))
     rows = rows.select(*key, *keep, "_own", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"))
     a, b = (rows.select(*key, "_lo", "_hi", *[F.col(c).alias(f"{p}_{c}") for c in [*keep, "_own"]]) for p in "ab")
-    once = (F.col("_lo") == F.col("_hi")) | ((F.col("a__own") == F.col("_lo")) & (F.col("b__own") == F.col("_hi")))
+    once = F.when(F.col("_lo") == F.col("_hi"), F.col("a_id") < F.col("b_id")).otherwise((F.col("a__own") == F.col("_lo")) & (F.col("b__own") == F.col("_hi")))
     return a.join(b, [*key, "_lo", "_hi"]).where(once).drop("_lo", "_hi", "a__own", "b__own")
 
 
@@ -90,9 +90,8 @@ def similar_classes(sets: DataFrame, share: float) -> tuple[DataFrame, DataFrame
     met = _self_join(post, ["h"], ["id", "n", "l", "layer"], F.col("c"), F.xxhash64("id"))
     asked = F.least("a_l", "b_l")
     size_fits = F.least("a_n", "b_n") >= F.lit(share) * F.greatest("a_n", "b_n") - 1e-9
-    met = met.where((F.col("a_id") != F.col("b_id")) & size_fits & (F.greatest("a_layer", "b_layer") <= asked))
+    met = met.where(size_fits & (F.greatest("a_layer", "b_layer") <= asked))
     met = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "h", asked.alias("asked"))
-    # within one block both orders of a pair of rows are met, so the shared shingles are counted twice there
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("asked").alias("asked"))
     candidates = pairs.where("m >= asked").select("a", "b")
     left = candidates.join(own.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
@@ -151,10 +150,9 @@ def similar_pairs(df: DataFrame, key: str, text: str, share: float = 0.8, words:
     members, links = similar_classes(shingle_sets(df, key, text, words, least_tokens), share)
     members = cut(members)
     classes = members.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1")
-    copies = _self_join(members.join(classes, "rep"), ["rep"], ["id"], F.col("size"), F.xxhash64("id")).select(F.col("a_id").alias("x"), F.col("b_id").alias("y")).where("x <> y")
+    copies = _self_join(members.join(classes, "rep"), ["rep"], ["id"], F.col("size"), F.xxhash64("id")).select(F.col("a_id").alias("x"), F.col("b_id").alias("y"))
     across = links.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
-    own = copies.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")).distinct()
-    return own.unionByName(across.select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b")))
+    return copies.unionByName(across).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
