@@ -142,7 +142,7 @@ def _assembled(name: str, of: str) -> str:
 )"""
 
 
-CLEANED = f"""{BUILDS},
+_CLEANING = f"""
 named AS (SELECT {_clean_name('canonical')} AS canonical, coalesce(aliases, []) AS aliases FROM builds),
 good_keys AS (SELECT * FROM named WHERE {_valid_name('canonical', True)}),
 key_phrases AS (SELECT canonical, unnest(list_concat([canonical], aliases)) AS a FROM good_keys),
@@ -150,6 +150,8 @@ clean_phrases AS (SELECT canonical, {_clean_name('a')} AS phrase FROM key_phrase
 kept_phrases AS (SELECT canonical, phrase FROM clean_phrases WHERE {_keeps_alias('phrase', 'canonical')}),
 {_assembled('cleaned', 'kept_phrases')}"""
 
+CLEANED = f"{BUILDS},{_CLEANING}"
+
 
 def _technical(e: str) -> str:
     toks = f"string_split({e}, ' ')"
@@ -172,12 +174,22 @@ def _is_skill(e: str) -> str:
     return f"CASE WHEN {e} = '' THEN false WHEN {_in(e, cfg.TECH_WHITELIST)} THEN true WHEN {_filler(e)} OR {_in(e, cfg.ADJECTIVES)} THEN false WHEN {_technical(e)} THEN true WHEN {verb} THEN false ELSE {_count(e)} >= 2 OR length({e}) >= 8 END"
 
 
-FILTERED = f"""{CLEANED},
+_FILTERING = f"""
 skill_keys AS (SELECT * FROM (SELECT {_norm('canonical')} AS canonical, aliases FROM cleaned) WHERE {_is_skill('canonical')}),
 skill_phrases AS (SELECT canonical, {_norm('a')} AS phrase FROM (SELECT canonical, unnest(list_concat([canonical], aliases)) AS a FROM skill_keys)),
 kept_skills AS (SELECT * FROM skill_phrases WHERE phrase <> '' AND (phrase = canonical OR {_is_skill('phrase')})),
 {_assembled('filtered', 'kept_skills')}"""
 
+FILTERED = f"{CLEANED},{_FILTERING}"
+
+#: The dictionary mined from the documents, with the seeds, in the place of the builds.
+_SEEDS = "seeds AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{a}')" for k, al in cfg.SEED_SKILLS.items() for a in al) + ") s(canonical, phrase))"
+MINED = f"""{TERMS},
+mined AS (SELECT term FROM terms WHERE df >= 5 AND NOT {_in('term', cfg.GENERIC_TERMS)} AND len(list_filter(string_split(term, ' '), lambda t: length(t) <= 2)) = 0 ORDER BY tf DESC, term LIMIT 2000),
+{_SEEDS},
+united AS (SELECT term AS canonical, term AS phrase FROM mined UNION SELECT * FROM seeds UNION SELECT term, term FROM mined WHERE term IN (SELECT canonical FROM seeds)),
+builds AS (SELECT canonical, list(DISTINCT phrase) AS aliases FROM united GROUP BY canonical),{_CLEANING},{_FILTERING}"""
+
 FLAT = f"""{BUILDS},
 flat AS (
   SELECT DISTINCT lower({_strip('canonical')}) AS canonical, lower({_strip('p')}) AS phrase, pos
@@ -285,6 +297,7 @@ rows AS (SELECT DISTINCT lower({_strip('canonical')}) AS canonical, lower({_stri
 seeds AS (SELECT * FROM (VALUES {', '.join(f"('{k}', '{a}')" for k, al in cfg.SEED_SKILLS.items() for a in al)}) s(canonical, phrase)),
 united AS (SELECT * FROM rows UNION SELECT * FROM seeds UNION SELECT canonical, canonical FROM rows WHERE canonical IN (SELECT canonical FROM seeds))
 SELECT canonical, array_to_string(list_sort(list(DISTINCT phrase)), '|') AS aliases FROM united GROUP BY canonical""",
+    "mined_dictionary": f"WITH {MINED} SELECT canonical, array_to_string(aliases, '|') AS aliases FROM filtered",
     "profile_top": "SELECT canonical, len(known_aliases) AS n_aliases, array_to_string(known_aliases[1:5], ', ') AS preview FROM canonical_skills WHERE known_aliases IS NOT NULL ORDER BY canonical LIMIT 50",
     "embedding_threshold": f"WITH {VECTORS} SELECT vec_id, query_id, round(s, 4) AS similarity FROM sims WHERE s >= 0.2",
     "embedding_top1": f"""WITH {VECTORS}, best AS (SELECT vec_id, arg_min(query_id, (-s, query_id)) AS query_id, max(s) AS s FROM sims GROUP BY vec_id)
