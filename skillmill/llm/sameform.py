@@ -136,4 +136,13 @@ def p4_same(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p4_found": p4_found, "p4_forms": p4_forms, "p4_same": p4_same}
-SQL: dict[str, str] = {}  # neither compatibility normalisation nor scripts of words are expressible in the SQL at hand
+#: Written from the statement of the cases: ranges of characters, and words of Latin and Cyrillic, Greek or Armenian letters.
+_STYLED_SQL = r"[\x{ff01}-\x{ff5e}\x{ffe0}-\x{ffe6}\x{fb00}-\x{fb06}\x{1d400}-\x{1d7ff}\x{2460}-\x{24ea}]"
+_HIDDEN_SQL = r"[\x{0300}-\x{036f}\x{20d0}-\x{20f0}\x{00ad}\x{034f}\x{115f}\x{1160}\x{180e}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{206f}\x{feff}\x{fe00}-\x{fe0f}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]"
+_MIXED_SQL = r"\p{Latin}[\p{L}\p{M}\p{N}_]*[\p{Cyrillic}\p{Greek}\p{Armenian}]|[\p{Cyrillic}\p{Greek}\p{Armenian}][\p{L}\p{M}\p{N}_]*\p{Latin}"
+_ODD_SQL = f"regexp_matches(t, '{_STYLED_SQL}|{_HIDDEN_SQL}|{_MIXED_SQL}')"
+SQL: dict[str, str] = {  # the forms themselves need compatibility normalisation, which the SQL at hand lacks
+    "p4_found": f"""
+SELECT 'extract_text_from_pdf' AS src, parse_id AS row_id FROM (SELECT parse_id, text AS t FROM extract_text_from_pdf) WHERE {_ODD_SQL}
+UNION ALL SELECT 'skill', mention_id FROM (SELECT mention_id, evidence_text AS t FROM skill) WHERE {_ODD_SQL}"""
+}
