@@ -32,7 +32,10 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if not getattr(sc, "_skillmill_shipped", False):
         root = Path(__file__).resolve().parent
-        to = Path(tempfile.mkdtemp(prefix="skillmill-")) / "skillmill.zip"
+        # in the shared folder where the cluster names one that is mounted; Spark serves the file to the executors
+        shared = (spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+        base = shared if shared.startswith("/") and os.path.isdir(shared) else None
+        to = Path(tempfile.mkdtemp(prefix="skillmill-", dir=base)) / "skillmill.zip"
         with zipfile.ZipFile(to, "w") as z:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))

@@ -7,10 +7,10 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_layout_text, clean_page_text
+from ..functions.text import clean_layout_text, clean_page_text, is_pdf_name
 
 #: content -> text candidates of each page, by strategy; raises ValueError for what is no PDF.
 Extractor = Callable[[bytes], list[list[str]]]
@@ -84,6 +84,23 @@ def extract_record(content: bytes | None, extractor: Extractor) -> tuple[str, in
     return (text, len(pages), "success", None) if text.strip() else ("", len(pages), "error", NO_TEXT)
 
 
+def upload_problem(name: Column | str, content: Column | str) -> Column:
+    """Why an upload is refused, else null: its name does not end in .pdf, or it is empty."""
+    content = F.col(content) if isinstance(content, str) else content
+    return F.when(~is_pdf_name(name), "not a PDF").when(F.coalesce(F.length(content), F.lit(0)) == 0, "empty file")
+
+
+def read_uploads(files: DataFrame, extractor: Extractor = simple_extractor, strict: bool = False) -> DataFrame:
+    """``path, text, problem`` of uploads (``path, content``). Refused ones have an empty text; with ``strict`` the query fails on the first."""
+    checked = files.withColumn("problem", upload_problem("path", "content"))
+    if strict:
+        good = checked.withColumn("content", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(": ", "path", "problem")).cast("binary")).otherwise(F.col("content")))
+    else:
+        good = checked.where("problem is null")
+    texts = read_pdfs(good, extractor, layout=False).select("path", "text", F.lit(None).cast("string").alias("problem"))
+    return texts if strict else texts.unionByName(checked.where("problem is not null").select("path", F.lit("").alias("text"), "problem"))
+
+
 def read_pdfs(files: DataFrame, extractor: Extractor = simple_extractor, layout: bool = True) -> DataFrame:
     """``path, text, num_pages, status, error`` of binary files (``path, content``).
 

@@ -158,3 +158,27 @@ def test_streams(spark, tmp_path):
     q = landing.analyse_stream(landing.text_stream(spark, str(tmp_path / "texts")), e, lambda df, n: seen.extend(r.final_skills for r in df.collect()), str(tmp_path / "ck2"))
     q.awaitTermination(60)
     assert seen == [["python"]] * 2
+
+
+def test_uploads(spark):
+    rows = [("a.pdf", bytearray(make_pdf(["Hi"]))), ("b.txt", bytearray(b"x")), ("c.PDF", bytearray(b"")), ("d.pdf", None), ("e.pdf", bytearray(b"junk"))]
+    df = spark.createDataFrame(rows, "path string, content binary")
+    got = {r.path: (r.text, r.problem) for r in pdf.read_uploads(df).collect()}
+    assert got == {"a.pdf": ("Hi", None), "b.txt": ("", "not a PDF"), "c.PDF": ("", "empty file"), "d.pdf": ("", "empty file"), "e.pdf": ("", None)}
+    with pytest.raises(Exception, match="not a PDF|empty file"):
+        pdf.read_uploads(df, strict=True).collect()
+    assert pdf.read_uploads(df.where("path = 'a.pdf'"), strict=True).first().text == "Hi"
+
+
+def test_stages(spark, tmp_path):
+    from skillmill.plans import stages
+
+    (tmp_path / "raw/Resume").mkdir(parents=True)
+    (tmp_path / "raw/Resume/Resume.csv").write_text("ID,Resume_str\n" + "".join(f"{i},docker pipeline worked\n" for i in range(6)))
+    mined = stages.mine(spark, str(tmp_path / "raw"), str(tmp_path / "one"))
+    assert {"docker", "docker pipeline", "python"} <= {r.canonical for r in mined.collect()}
+    original, removed, final = stages.clean(spark, str(tmp_path / "one"), str(tmp_path / "two"))
+    assert original == mined.count() and final == original - removed
+    assert stages.filter_skills(spark, str(tmp_path / "two"), str(tmp_path / "three"))[0] == final
+    total, top, picked = stages.inspect(spark, str(tmp_path / "three"), top=2, random=2)
+    assert total >= 4 and top.count() == 2 == picked.count()
