@@ -41,8 +41,11 @@ def term_frequencies(records: DataFrame, terms: str = "terms", fewest_rows: int
     key = [by] if by else []
     counts = records.select(*key, F.explode(per_record_counts(F.col(terms))).alias("c"))
     sums = counts.groupBy(*key, F.col("c.term").alias("term")).agg(F.sum("c.n").alias("n_occurrences"), F.count("*").alias("n_rows"))
-    total = F.broadcast(records.groupBy(*key).agg(F.count("*").alias("n_all")))  # one row for each value of ``by``
-    joined = sums.join(total, by) if by else sums.join(total.withColumn("one", F.lit(1)), F.col("one") == F.lit(1)).drop("one")
+    if by:
+        total = records.groupBy(by).agg(F.count("*").alias("n_all"))  # one row for each value of ``by``
+        joined = sums.join(F.broadcast(total), by)
+    else:
+        joined = sums.withColumn("n_all", F.lit(records.count()))
     return joined.select(
         *key, "term", "n_occurrences", "n_rows", (F.col("n_rows") < fewest_rows).alias("rare"), (F.col("n_rows") > largest_share * F.col("n_all")).alias("common")
     )

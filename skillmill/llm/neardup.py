@@ -49,6 +49,7 @@ def _self_join(df: DataFrame, key: list[str], keep: list[str], count: Column, by
     rows = df.withColumn("_n", n).withColumn("_own", F.pmod(by, F.col("_n")).cast("int"))
     rows = rows.select(*key, *keep, "_own", F.explode(F.when(F.col("_n") <= 1, F.array(F.struct(F.lit(0).alias("lo"), F.lit(0).alias("hi")))).otherwise(_blocks(F.col("_n"), F.col("_own")))).alias("_b"))
     rows = rows.select(*key, *keep, "_own", F.col("_b.lo").alias("_lo"), F.col("_b.hi").alias("_hi"))
+    rows = rows.repartition(*key, "_lo", "_hi")  # shuffled here, before the sides get their names, both sides read one exchange
     a, b = (rows.select(*key, "_lo", "_hi", *[F.col(c).alias(f"{p}_{c}") for c in [*keep, "_own"]]) for p in "ab")
     once = F.when(F.col("_lo") == F.col("_hi"), F.col("a_id") < F.col("b_id")).otherwise((F.col("a__own") == F.col("_lo")) & (F.col("b__own") == F.col("_hi")))
     return a.join(b, [*key, "_lo", "_hi"]).where(once).drop("_lo", "_hi", "a__own", "b__own")
@@ -57,15 +58,14 @@ def _self_join(df: DataFrame, key: list[str], keep: list[str], count: Column, by
 def ordered_prefixes(sets: DataFrame, share: float) -> DataFrame:
     """``h, c, id, n, l, layer``: the prefix postings of each set, with their frequency, the chosen l and the
     least l whose prefix holds the posting. Shingles of one record only cannot match and give none."""
-    each = sets.select("id", F.size("s").alias("n"), F.explode("s").alias("h"))
-    counts = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    each = sets.select("id", F.explode("s").alias("h"))
     # A shingle counts as hot by its share of the records; the table of hot ones is bounded, see HOT_SHARE.
-    total = F.broadcast(sets.agg(F.count("*").alias("all")).withColumn("one", F.lit(1)))
-    marked = counts.join(total, F.lit(1) == F.col("one")).select("h", "c", (F.col("c") > F.greatest(F.lit(float(BLOCK)), F.col("all") * HOT_SHARE)).alias("hot"))
-    hot, cold = marked.where("hot").select("h", "c"), marked.where("not hot").select("h", "c")
+    most = max(BLOCK, HOT_SHARE * sets.count())
+    counts = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
+    hot, cold = counts.where(F.col("c") > most), counts.where(F.col("c") <= most)
     with_hot = each.join(F.broadcast(hot), "h", "left")
     counted = with_hot.where("c is not null").unionByName(with_hot.where("c is null").drop("c").join(cold, "h"))
-    docs = counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("p"))
+    docs = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("p")).join(sets.select("id", F.size("s").alias("n")), "id")
     need = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int")  # what any partner shares at least
     docs = docs.withColumn("alone", F.col("n") - F.size("p")).withColumn("spare", F.col("n") - need)
     length = lambda k: F.greatest(F.lit(0), F.least(F.size("p"), F.col("spare") + k - F.col("alone")))
