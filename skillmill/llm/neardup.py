@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import let
 from ..session import cut, load, spread
 
 #: Most shared prefix shingles asked for, and what one verification costs against one joined posting.
@@ -69,10 +70,10 @@ def ordered_prefixes(sets: DataFrame, share: float) -> DataFrame:
     need = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int")  # what any partner shares at least
     docs = docs.withColumn("alone", F.col("n") - F.size("p")).withColumn("spare", F.col("n") - need)
     length = lambda k: F.greatest(F.lit(0), F.least(F.size("p"), F.col("spare") + k - F.col("alone")))
-    docs = docs.withColumn("sums", F.array(*[F.aggregate(F.slice("p", 1, length(k)), F.lit(0.0), lambda a, x: a + x["c"]) for k in range(1, MOST_SHARED + 1)]))
-    docs = docs.withColumn("most", F.least(F.lit(MOST_SHARED), need))
-    costs = F.transform(F.sequence(F.lit(1), F.col("most")), lambda k: F.struct((F.element_at("sums", k) * (F.lit(1.0) + F.lit(VERIFY_COST) / k)).alias("cost"), k.alias("l")))
-    docs = docs.withColumn("l", F.array_min(costs)["l"])
+    sums = F.array(*[F.aggregate(F.slice("p", 1, length(k)), F.lit(0.0), lambda a, x: a + x["c"]) for k in range(1, MOST_SHARED + 1)])
+    most_l = F.least(F.lit(MOST_SHARED), need)
+    cost = lambda s, k: F.struct((F.element_at(s, k) * (F.lit(1.0) + F.lit(VERIFY_COST) / k)).alias("cost"), k.alias("l"))
+    docs = docs.withColumn("l", let(sums, lambda s: F.array_min(F.transform(F.sequence(F.lit(1), most_l), lambda k: cost(s, k))))["l"])
     prefix = F.slice("p", 1, F.greatest(F.lit(0), F.least(F.size("p"), F.col("spare") + F.col("l") - F.col("alone"))))
     out = docs.select("id", "n", "l", "alone", "spare", F.posexplode(prefix).alias("at", "x"))
     return out.select(F.col("x.h").alias("h"), F.col("x.c").alias("c"), "id", "n", "l", F.greatest(F.lit(1), F.col("alone") + F.col("at") + 1 - F.col("spare")).cast("int").alias("layer"))
