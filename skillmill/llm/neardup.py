@@ -57,8 +57,8 @@ def _self_join(df: DataFrame, key: list[str], keep: list[str], count: Column, by
 
 
 def ordered_prefixes(sets: DataFrame, share: float) -> DataFrame:
-    """``h, c, id, n, l, layer``: the prefix postings of each set, with their frequency, the chosen l and the
-    least l whose prefix holds the posting. Shingles of one record only cannot match and give none."""
+    """``h, c, id, n, l, layer, behind``: the prefix postings of each set, with their frequency, the chosen l, the least l whose
+    prefix holds the posting, and the shingles behind it in the order. Shingles of one record only cannot match and give none."""
     each = sets.select("id", F.explode("s").alias("h"))
     # A shingle counts as hot by its share of the records; the table of hot ones is bounded, see HOT_SHARE.
     most = max(BLOCK, HOT_SHARE * sets.count())
@@ -76,7 +76,7 @@ def ordered_prefixes(sets: DataFrame, share: float) -> DataFrame:
     docs = docs.withColumn("l", let(sums, lambda s: F.array_min(F.transform(F.sequence(F.lit(1), most_l), lambda k: cost(s, k))))["l"])
     prefix = F.slice("p", 1, F.greatest(F.lit(0), F.least(F.size("p"), F.col("spare") + F.col("l") - F.col("alone"))))
     out = docs.select("id", "n", "l", "alone", "spare", F.posexplode(prefix).alias("at", "x"))
-    return out.select(F.col("x.h").alias("h"), F.col("x.c").alias("c"), "id", "n", "l", F.greatest(F.lit(1), F.col("alone") + F.col("at") + 1 - F.col("spare")).cast("int").alias("layer"))
+    return out.select(F.col("x.h").alias("h"), F.col("x.c").alias("c"), "id", "n", "l", F.greatest(F.lit(1), F.col("alone") + F.col("at") + 1 - F.col("spare")).cast("int").alias("layer"), (F.col("n") - 1 - F.col("alone") - F.col("at")).alias("behind"))
 
 
 def similar_classes(sets: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
@@ -88,10 +88,13 @@ def similar_classes(sets: DataFrame, share: float) -> tuple[DataFrame, DataFrame
     members = sets.select("id", "k1", "k2", F.size("s").alias("n")).join(reps, ["k1", "k2", "n"]).select("rep", "id")
     own = sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s")
     post = ordered_prefixes(own, share)
-    met = _self_join(post, ["h"], ["id", "n", "l", "layer"], F.col("c"), F.xxhash64("id"))
+    met = _self_join(post, ["h"], ["id", "n", "l", "layer", "behind"], F.col("c"), F.xxhash64("id"))
     asked = F.least("a_l", "b_l")
     size_fits = F.least("a_n", "b_n") >= F.lit(share) * F.greatest("a_n", "b_n") - 1e-9
-    met = met.where(size_fits & (F.greatest("a_layer", "b_layer") <= asked))
+    # of the first l shared shingles none stands so late that those before it and behind it cannot make up the overlap
+    overlap = F.ceil(F.lit(share / (1 + share)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
+    in_time = F.least("a_behind", "b_behind") + asked >= overlap
+    met = met.where(size_fits & (F.greatest("a_layer", "b_layer") <= asked) & in_time)
     met = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "h", asked.alias("asked"))
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("asked").alias("asked"))
     candidates = pairs.where("m >= asked").select("a", "b")
