@@ -161,7 +161,7 @@ _PHONE = re.compile(
     r"\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)|\d{1,5})(?:[ ./-]?\d{2,8}){1,5}"
     r"|(?:\+?1[-. ]?)?(?:\(\d{3}\) ?|\d{3}[-. ])\d{3}[-. ]\d{4}"
     r"|0\d(?:[ .-]\d\d){4}"
-    r"|(?!0\d/(?:19|20)\d\d)0\d{1,4}[ /-]\d{2,8}(?:[ -]\d{2,5})?"
+    r"|(?!0\d/(?:19|20)\d\d)0[1-9]\d{0,3}[ /-]\d{2,8}(?:[ -]\d{2,5})?"
     r"|\(0\d{1,4}\)[ /-]?\d{3,8}(?:[ -]\d{2,5})?"
     r"|00\d{10,12}|0\d{9,10}|[2-9]\d{9}"
     r")(?![\w@]|[.-]\d)"
