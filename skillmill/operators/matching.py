@@ -10,6 +10,8 @@ from ..functions.text import WHITE, is_simple, quoted, sentences
 #: A dictionary of at most so many phrases is sent to every executor; a larger one is joined by a shuffle.
 BROADCAST_PHRASES = 200_000
 PLAIN = r"(?U)\A\w+( \w+)*\z"
+#: Lengths of the character n-grams by which phrases without an anchor meet documents: the longest that a phrase has room for.
+GRAMS = (6, 3, 2, 1)
 
 
 def sized(df: DataFrame, most: int = BROADCAST_PHRASES) -> DataFrame:
@@ -30,10 +32,28 @@ def _words_join(docs: DataFrame, key: list[str], text: str, phrases: DataFrame,
     return met.where(alike).select(*key, "canonical")
 
 
+def _by_grams(low: DataFrame, key: list[str], phrases: DataFrame, kept: str, rare: str, test: Column) -> DataFrame | None:
+    """Documents (``key, low``) and phrases of ``kept`` characters only: joined by one n-gram of the phrase, then tested.
+
+    The n-gram holds the first character of ``rare``, which every phrase has; documents give the n-grams with such a
+    character, so that few come from ordinary text. None if there is no phrase.
+    """
+    n, at = F.length("phrase"), F.regexp_instr("phrase", F.lit(f"(?U){rare}"))
+    size = F.coalesce(*[F.when(n >= g, F.lit(g)) for g in GRAMS])
+    own = phrases.select("canonical", "phrase", size.alias("_g"), F.least(at, n - size + 1).alias("_from")).distinct()
+    present = sorted(r[0] for r in own.select("_g").distinct().collect())
+    if not present:
+        return None
+    keyed = own.select("canonical", "phrase", F.substring("phrase", F.col("_from"), F.col("_g")).alias("gram"))
+    all_grams = F.concat(*[F.regexp_extract_all("low", F.lit(f"(?U)(?=({kept}{{{g}}}))"), F.lit(1)) for g in present])
+    grams = low.where(F.col("low").rlike(f"(?U){rare}")).select("*", F.explode(F.array_distinct(F.filter(all_grams, lambda x: x.rlike(f"(?U){rare}")))).alias("gram"))
+    return grams.join(sized(keyed), "gram").where(test).select(*key, "canonical")
+
+
 def _anchored(docs: DataFrame, key: list[str], text: str, phrases: DataFrame, test: Column) -> DataFrame:
     """Documents and other phrases: joined by the longest word inside the phrase, as part of a word of the document, then tested.
 
-    A phrase without any word character has no such word; these few are tested against each document by a nested loop.
+    A phrase without any word character has no such word; these are joined by an n-gram of their signs.
     """
     inner = F.regexp_extract_all(F.col("phrase"), F.lit(r"(?U)\w+"), F.lit(0))
     rows = phrases.select("canonical", "phrase").distinct().withColumn("anchor", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
@@ -41,9 +61,8 @@ def _anchored(docs: DataFrame, key: list[str], text: str, phrases: DataFrame, te
     low = docs.select(*key, F.lower(F.col(text)).alias("low"))
     words = low.select("*", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"(?U)\w+"), F.lit(0)))).alias("anchor"))
     hits = words.join(sized(with_word), "anchor").where(test).select(*key, "canonical")
-    if without.isEmpty():
-        return hits
-    return hits.unionByName(low.join(F.broadcast(without.limit(BROADCAST_PHRASES)), test).select(*key, "canonical"))
+    signs = _by_grams(low, key, without, r"\W", r"\W", test)
+    return hits if signs is None else hits.unionByName(signs)
 
 
 def match_phrases(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -85,7 +104,8 @@ def match_rules(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", tex
     signs = F.regexp_extract_all(F.col("phrase"), F.lit(r"(?U)[^\w\s]"), F.lit(0))
     anchored = inner.select("canonical", "phrase", F.get(signs, F.lit(0)).alias("piece"))
     hits = grams.join(sized(anchored.where("piece is not null").distinct()), "piece").where(F.col("low").contains(F.col("phrase"))).select(key, "canonical")
-    bare = anchored.where("piece is null").select("canonical", "phrase")
-    if not bare.isEmpty():  # words of other scripts or with accents: no sign to join on
-        hits = hits.unionByName(low.join(F.broadcast(bare.distinct().limit(BROADCAST_PHRASES)), F.col("low").contains(F.col("phrase"))).select(key, "canonical"))
+    # words of other scripts or with accents: no sign to join on, but a character that simple aliases lack
+    bare = _by_grams(low, [key], anchored.where("piece is null"), r"[\w\s]", r"[\w\s&&[^a-z0-9 ]]", F.col("low").contains(F.col("phrase")))
+    if bare is not None:
+        hits = hits.unionByName(bare)
     return first.unionByName(hits).distinct()

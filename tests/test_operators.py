@@ -59,6 +59,21 @@ def test_rule_match(spark):
     assert pairs(matching.match_rules(docs, dic.for_rules(entries(spark, d)))) == [(1, "cpp"), (1, "ml"), (1, "node")]
 
 
+def test_phrases_without_anchor_have_no_cap(spark, monkeypatch):
+    """More of them than the broadcast bound: all are matched, by broadcast and by shuffle."""
+    phrases = ["my_key", "_", "été", "naïve bayes", "a_b", "é", "машинное обучение", "学习", "机器学习方法论", "x é", "𝒳y", "++", "→", "- -", "€$€$€$€", "/"]
+    texts = ["use my_keys or l'étée", "naïve bayes", "Машинное  обучение", "машинное обучение機", "机器学习方法论", "axé", "ax éa", "𝒳yz ++ →", "a - - b", "€$€$€$€ ok", "€$€$€$€€", "a/b", "/", "plain text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    e = entries(spark, {p: [p] for p in phrases})
+    rules = sorted((i, p) for i, t in enumerate(texts) for p in phrases if p in t.lower())
+    words = sorted((i, p) for i, t in enumerate(texts) for p in phrases if regex.search(rf"(?<!\w){re.escape(p)}(?!\w)", t.lower()))
+    monkeypatch.setattr(matching, "BROADCAST_PHRASES", 2)
+    for most in (200_000, 2):
+        monkeypatch.setattr(matching.sized, "__defaults__", (most,))
+        assert pairs(matching.match_rules(docs, dic.for_rules(e))) == rules
+        assert pairs(matching.match_phrases(docs, dic.for_keywords(e))) == words
+
+
 def test_loading_rules(spark):
     e = entries(spark, {" SQL ": ["MySQL", None, ""], "sql": ["pg"], "Go": None, "": ["x"]})
     assert pairs(dic.for_keywords(e).select("canonical", "phrase")) == [("go", "go"), ("sql", "mysql"), ("sql", "pg"), ("sql", "sql")]
