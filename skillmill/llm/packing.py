@@ -42,14 +42,14 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, strict: bool = Fa
     Items go by falling size. Bins are ordered by residual room: one bit of ``open`` says whether bins
     of a residual exist, so that the successor search jumps to the next tightest. Each bin carries a
     bitmap of sources and one of duplicate clusters. The search goes on until a bin without the item's
-    cluster is found; among equally tight ones a bin without the item's source comes first. If no open
+    cluster is found; among equally tight ones, which are kept by bitmap of sources, a bin without the item's source comes first. If no open
     bin is compatible, the tightest that has room is taken (a new bin if ``strict``), as unused room
     counts for more than keeping copies apart.
     """
     bits: dict[tuple[str, int], int] = {}
     often = Counter(c for _, _, c in items)
     bit = lambda kind, x: 1 << bits.setdefault((kind, x), len(bits))
-    by_room: dict[int, list[int]] = defaultdict(list)
+    by_room: dict[int, dict[int, list[int]]] = defaultdict(dict)
     sources: list[int] = []
     clusters: list[int] = []
     room: list[int] = []
@@ -64,21 +64,16 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, strict: bool = Fa
             low = (left & -left).bit_length() - 1
             here = by_room[base + low]
             if tight < 0:
-                tight = here[-1]
+                tight = next(reversed(here.values()))[-1]
             other = -1
-            if not c and not sources[here[-1]] & s:
-                found = here[-1]
-                break
-            for b in reversed(here):
-                if c & clusters[b]:
+            for held, bins in here.items():
+                if held & s and other >= 0:
                     continue
-                if not sources[b] & s:
+                b = bins[-1] if not c else next((b for b in reversed(bins) if not c & clusters[b]), -1)
+                if b >= 0 and not held & s:
                     found = b
                     break
-                if other < 0:
-                    other = b
-                    if not c:
-                        break
+                other = max(other, b)
             if found < 0:
                 found = other
             if found >= 0:
@@ -94,14 +89,20 @@ def best_fit(items: list[tuple[int, int, int]], capacity: int, strict: bool = Fa
             clusters.append(0)
         else:
             r = room[found]
-            by_room[r].remove(found)
+            bins = by_room[r][sources[found]]
+            if bins[-1] == found:
+                bins.pop()
+            else:
+                bins.remove(found)
+            if not bins:
+                del by_room[r][sources[found]]
             if not by_room[r]:
                 open_ &= ~(1 << r)
         room[found] = r = room[found] - size
         sources[found] |= s
         clusters[found] |= c
         if r:
-            by_room[r].append(found)
+            by_room[r].setdefault(sources[found], []).append(found)
             open_ |= 1 << r
         out[k] = found
     return out

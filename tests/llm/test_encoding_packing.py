@@ -152,3 +152,12 @@ def test_blocks_do_not_share_windows(spark, monkeypatch):
     per = got.groupBy("window_no").agg(F.sum("n_tokens").alias("n")).agg(F.max("n"), F.count("*"), F.sum("n")).first()
     assert per[0] <= 64 and got.select("doc_id").distinct().count() == 400
     assert per[1] <= 1.1 * per[2] / 64 + 8
+
+
+def test_an_equally_tight_bin_without_the_source_is_found():
+    """Wherever it stands among its like, for unique texts as for copies."""
+    assert packing.best_fit([(6, 0, 1), (6, 1, 2), (4, 1, 3)], 10) == [0, 1, 0]
+    items = [(6, s, 10 + i) for i, s in enumerate([0, 1, 1, 1, 0, 1])] + [(4, 1, 20), (4, 1, 21), (4, 0, 22), (4, 1, 23)]
+    bins = packing.best_fit(items, 10)
+    assert sorted(items[bins.index(b)][1] for b in bins[6:]) == [0, 0, 1, 1] and items[bins.index(bins[8])][1] == 1
+    assert packing.best_fit([(6, 0, 5), (6, 1, 2), (6, 2, 3), (4, 2, 5)], 10) == [0, 1, 2, 1]
