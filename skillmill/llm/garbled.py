@@ -40,7 +40,10 @@ MISREAD = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "latin_1
 ONE_BYTE = (("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "cp850"))
 
 _RUN = re.compile(r"[^\x00-\x7f]+(?:[ ?](?=[^\x00-\x7f]))?")
-_ENTITIES = re.compile(r"(?:&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8}\d?);){2,}")
+_ENTITY = r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8}\d{0,2});"
+#: A run of entities and of characters beside them, taken from the run's beginning on.
+_ENTITIES = re.compile(rf"(?<![^\x00-\x7f])[^\x00-\x7f]*+(?:{_ENTITY}[^\x00-\x7f]*+)+")
+_UNIT = re.compile(rf"{_ENTITY}|[^\x00-\x7f]")
 
 
 def _cells(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -223,8 +226,16 @@ class Model:
         return got
 
     def _restore(self, around: str) -> str | None:
+        run, out, at = around[1:-1], [], 0
+        for lo, hi, fixed in (found := self.spans(around)):
+            out += [run[at:lo], fixed]
+            at = hi
+        return "".join(out) + run[at:] if found else None
+
+    def spans(self, around: str) -> list[tuple[int, int, str]]:
+        """The parts of the run that were misread, as (start, end, as it was)."""
         before, run, after = around[0], around[1:-1], around[-1]
-        out, at, hit = [], 0, False
+        out, at = [], 0
         for start, end in segments([self.pair(a, b)[1] for a, b in zip(around, around[1:])]):
             lo, hi = max(start - 1, 0), min(end, len(run))  # pairs start..end-1 span characters start..end of ``around``
             lo = max(lo, at)
@@ -232,9 +243,48 @@ class Model:
                 continue
             fixed = self._inverse(run[lo - 1] if lo else before, run[lo:hi], run[hi] if hi < len(run) else after)
             if fixed is not None:
-                out += [run[at:lo], fixed]
-                at, hit = hi, True
-        return "".join(out) + run[at:] if hit else None
+                out.append((lo, hi, fixed))
+                at = hi
+        return out
+
+    def _entities(self, t: str, start: int, end: int) -> str | None:
+        """A run of entities and characters with the misread parts that hold an entity as they were, or null if there are none.
+
+        Entities in one chain with such a part are written as characters; all else stays as it is."""
+        units = [m.group() for m in _UNIT.finditer(t, start, end)]
+        plain = [html.unescape(u) for u in units]
+        run = "".join(plain)
+        around = (t[start - 1] if start else "\n") + run + (t[end] if end < len(t) else "\n")
+        if run.isascii() or self.restore(around) is None:
+            return None
+        owner = [i for i, p in enumerate(plain) for _ in p]
+        named = [u.isascii() for u in units]
+        decoded, fixes = set(), {}
+        for lo, hi, fixed in self.spans(around):
+            i, j = owner[lo], owner[hi - 1] + 1
+            if not any(named[i:j]):
+                continue
+            fixes[lo] = (hi, fixed)
+            while i and named[i - 1]:
+                i -= 1
+            while j < len(units) and named[j]:
+                j += 1
+            decoded.update(range(i, j))
+        if not fixes:
+            return None
+        out, at, until = [], 0, 0
+        for i, (u, p) in enumerate(zip(units, plain)):
+            for c in p if i in decoded else ():
+                if at in fixes:
+                    until, fixed = fixes[at]
+                    out.append(fixed)
+                elif at >= until:
+                    out.append(c)
+                at += 1
+            if i not in decoded:
+                out.append(u)
+                at += len(p)
+        return "".join(out)
 
     def _inverse(self, before: str, s: str, after: str) -> str | None:
         here = self.likelihood(before + s + after)
@@ -271,9 +321,7 @@ class Model:
         if "&" in t and (m := _ENTITIES.search(t)):
             parts, k = [], 0
             for m in _ENTITIES.finditer(t):
-                plain = html.unescape(m.group())
-                lo, hi = t[m.start() - 1] if m.start() else "\n", t[m.end()] if m.end() < len(t) else "\n"
-                fixed = self.restore(lo + plain + hi) if not plain.isascii() else None
+                fixed = self._entities(t, *m.span())
                 if fixed is not None:
                     parts += [t[k : m.start()], fixed]
                     k, hit = m.end(), True
@@ -312,7 +360,7 @@ def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         for b in batches:
             for at in range(0, b.num_rows, 1024):
                 part = b.slice(at, 1024)
-                got = [(False, t) if t is None or (t.isascii() and "&#" not in t) else model.text(t) for t in part.column(1).to_pylist()]
+                got = [(False, t) if t is None or (t.isascii() and "&" not in t) else model.text(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.bool_()), pa.array([g[1] for g in got], pa.string())], names=["key", "is_garbled", "restored"])
 
     kind = df.schema[key].dataType.simpleString()

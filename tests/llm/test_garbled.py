@@ -92,3 +92,18 @@ def test_frame(spark):
     rest = {r.doc_id: r.restored for r in got.where("not is_garbled").collect()}
     assert rest[901] is None and rest[902] == "" and rest[0] == LINES[0]
     assert g.find_garbled(df.where("false")).count() == 0
+
+
+def test_entities_by_name_and_beside_characters(model):
+    for text in ("R&Atilde;&copy;seau", "R&Atilde;©seau", "RÃ&copy;seau", "RÃ&#169;seau"):
+        assert model.text(text) == (True, "Réseau"), text
+    assert model.text("R&Egrave;seau") == model.text("RÈseau")[:1] + ("Réseau" if model.text("RÈseau")[0] else "R&Egrave;seau",)
+    assert model.text("RÃ©&nbsp;seau")[0]
+    for text in ("caf&eacute; &amp; th&eacute;&acirc;tre", "naïve fa&ccedil;ade", "a &lt;b&gt; AT&T; R&D"):
+        assert model.text(text) == (False, text), text
+
+
+def test_named_entities_in_ascii_documents(spark):
+    rows = [(i, LINES[1]) for i in range(200)] + [(900, "r&Atilde;&copy;seau"), (901, "AT&T and R&D")]
+    got = {r.doc_id: (r.is_garbled, r.restored) for r in g.find_garbled(spark.createDataFrame(rows, "doc_id bigint, text string")).where("doc_id >= 900").collect()}
+    assert got == {900: (True, "réseau"), 901: (False, "AT&T and R&D")}
