@@ -40,6 +40,8 @@ _AT = r"(?:@|[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|[ \t]+at[ \t]+)"
 _DOT = r"(?:\.|[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)"
 #: A disguised "at": a bare one needs a disguised dot behind it. The address around it is then looked for on both sides.
 _HIDDEN_AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|[ \t]+at[ \t]+(?=[\w-]+[ \t]*[\[({<]?[ \t]*dot\b)|@(?=[\w-]+[ \t]*[\[({<][ \t]*dot\b)", re.I)
+#: In lower case; what ``_HIDDEN_AT`` finds has one of these: this, or a "dot".
+_OPENED_AT = re.compile(r"[\[({<][ \t]*(?:at|@)")
 _HIDDEN_LEFT = re.compile(r"[\w.+%-]+\Z")
 _HIDDEN_RIGHT = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)+", re.I)
 _SIGN = re.compile(rf"(?P<at>{_AT})|(?P<dot>[ \t]*[\[({{<][ \t]*(?:dot|\.)[ \t]*[\])}}>][ \t]*|[ \t]+dot[ \t]+)", re.I)
@@ -59,7 +61,7 @@ class Normal:
         if k & _DECEIVES or (k & _OTHER and _MIXED.search(source)):
             self._characters()
         self.low = low = self.text.lower()
-        if "dot" in low or "(at" in low or "[at" in low or "{at" in low or "<at" in low or "( at" in low or "[ at" in low:
+        if "dot" in low or _OPENED_AT.search(low):
             self._rewrite(self._disguised(self.text), self._signs)
         # most texts hold no spelled number; the words are looked for before the costlier pattern
         if sum(w in DIGIT_WORDS for w in low.split()) >= 5 and _SPELLED.search(self.text):

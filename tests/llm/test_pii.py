@@ -79,3 +79,8 @@ def test_frames(spark):
     assert red == {1: "CV | [NAME]\n[EMAIL] [EMAIL]", 2: None, 3: "", None: "nothing"}
     assert pii.find_personal(df.where("false"), hints, ["row_id"], "t").count() == 0
     assert pii.find_personal(df, hints.where("false"), ["row_id"], "t").where("kind = 'EMAIL'").count() == 2
+
+
+@pytest.mark.parametrize("sign", ["[@]", " (@) ", " { at } ", "< at >", " (  at ) ", "(\tAT)", " [ @ ] "])
+def test_disguise_without_the_word_dot(find, sign):
+    assert find(f"x.\nMail: jane{sign}firm.com now.") == [("EMAIL", f"jane{sign}firm.com")]
