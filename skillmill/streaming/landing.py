@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import is_pdf_name
@@ -27,12 +26,11 @@ def text_stream(spark: SparkSession, folder: str, schema: str = "doc_id bigint,
 def analyse_stream(docs: DataFrame, entries: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Analyses each micro-batch as a batch, so that no state is kept, and gives (result, batch number) to ``sink``.
 
-    A batch may be given again after a failure: a sink that writes by batch number makes the whole exactly once.
+    A document without text has empty arrays, as in a batch. A batch may be given again after a failure: a sink that writes by batch number makes the whole exactly once.
     """
 
     def run(batch: DataFrame, number: int) -> None:
-        known = batch.where(F.col("text").isNotNull()).select("doc_id", "text")
-        sink(analyse(Inputs(known, entries)), number)
+        sink(analyse(Inputs(batch.select("doc_id", "text"), entries)), number)
 
     writer = docs.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

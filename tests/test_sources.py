@@ -182,3 +182,16 @@ def test_stages(spark, tmp_path):
     assert stages.filter_skills(spark, str(tmp_path / "two"), str(tmp_path / "three"))[0] == final
     total, top, picked = stages.inspect(spark, str(tmp_path / "three"), top=2, random=2)
     assert total >= 4 and top.count() == 2 == picked.count()
+
+
+def test_stream_keeps_documents_without_text(spark, tmp_path):
+    from skillmill.streaming import landing
+
+    e = spark.createDataFrame([("python", ["python"], 0)], "canonical string, aliases array<string>, pos bigint")
+    docs = spark.createDataFrame([(1, "python"), (2, None), (3, "")], "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "texts"))
+    seen = []
+    q = landing.analyse_stream(landing.text_stream(spark, str(tmp_path / "texts")), e, lambda df, n: seen.extend(df.collect()), str(tmp_path / "ck"))
+    q.awaitTermination(60)
+    by_id = lambda rows: sorted(rows, key=lambda r: r.doc_id)
+    assert by_id(seen) == by_id(pipeline.analyse(pipeline.Inputs(docs, e)).collect()) and [r.doc_id for r in by_id(seen)] == [1, 2, 3]
