@@ -25,24 +25,24 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x))
 
 
-def _matrix(skills: DataFrame, name: str, vector: str) -> tuple[list, np.ndarray]:
-    """The skill side in order of name; its size has been checked."""
-    rows = skills.select(name, vector).orderBy(name).collect()
-    width = max((len(r[1]) for r in rows), default=0)
-    rows = [r for r in rows if len(r[1]) == width]
-    return [r[0] for r in rows], np.array([r[1] for r in rows], np.float64).reshape(len(rows), width)
+def _matrices(skills: DataFrame, name: str, vector: str) -> dict[int, tuple[list, np.ndarray]]:
+    """The skill side in order of name, a matrix for each length of vector; its size has been checked."""
+    by_width: dict[int, list] = {}
+    for r in skills.select(name, vector).orderBy(name).collect():
+        by_width.setdefault(len(r[1]), []).append(r)
+    return {w: ([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)) for w, rows in by_width.items()}
 
 
 def similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float = 0.6, most: int = MOST_NUMBERS) -> DataFrame:
     """``key, name, similarity`` of every pair at or above ``threshold``: one matrix product for each batch of items.
 
     The skill matrix is sent to the workers, so items are neither shuffled nor paired up row by row. If it has more than
-    ``most`` numbers, the items meet it in blocks of that size, one after the other. Rows with a null vector or one of
-    another length give nothing.
+    ``most`` numbers, the items meet it in blocks of that size, one after the other. Vectors of equal length are compared,
+    as in ``dot``; rows with a null vector or one of a length that the other side lacks give nothing.
     """
     skills = skills.where(F.col(name).isNotNull() & (F.size(skill_vector) > 0))
-    n, width = skills.agg(F.count("*"), F.max(F.size(skill_vector))).first()
-    blocks = max(1, -(-n * (width or 0) // most))
+    numbers = skills.agg(F.sum(F.size(skill_vector))).first()[0] or 0
+    blocks = max(1, -(-numbers // most))
     out = None
     for b in range(blocks):
         own = skills if blocks == 1 else skills.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b)
@@ -52,23 +52,23 @@ def similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, nam
 
 
 def _block_similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float) -> DataFrame:
-    names, m = _matrix(skills, name, skill_vector)
+    matrices = _matrices(skills, name, skill_vector)
     kinds = [items.schema[key].dataType.simpleString(), skills.schema[name].dataType.simpleString()]
-    if not names:
+    if not matrices:
         return items.select(key, F.lit(None).cast(kinds[1]).alias(name), F.lit(0.0).alias("similarity")).where("false")
-    sent = items.sparkSession.sparkContext.broadcast((names, m))
-    name_type = pa.array(names).type
+    sent = items.sparkSession.sparkContext.broadcast(matrices)
+    name_type = pa.array([n for names, _ in matrices.values() for n in names]).type
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, mat = sent.value
         for b in batches:
             vectors = b.column(1).to_pylist()
-            rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == mat.shape[1] and None not in v]
-            for at in range(0, len(rows), 1024):
-                part = np.array(rows[at : at + 1024])
-                s = np.array([vectors[i] for i in part], np.float64) @ mat.T
-                i, j = np.nonzero(s >= threshold)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part[i])), pa.array([own[k] for k in j], name_type), pa.array(s[i, j])], names=["key", "name", "similarity"])
+            for width, (own, mat) in sent.value.items():
+                rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == width and None not in v]
+                for at in range(0, len(rows), 1024):
+                    part = np.array(rows[at : at + 1024])
+                    s = np.array([vectors[i] for i in part], np.float64) @ mat.T
+                    i, j = np.nonzero(s >= threshold)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part[i])), pa.array([own[k] for k in j], name_type), pa.array(s[i, j])], names=["key", "name", "similarity"])
 
     got = items.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInArrow(run, f"key {kinds[0]}, name {kinds[1]}, similarity double")
     return got.toDF(key, name, "similarity")

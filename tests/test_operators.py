@@ -156,6 +156,15 @@ def test_similarities(spark):
     assert to.first().confidence == 0.0
 
 
+def test_skill_vectors_of_several_lengths(spark):
+    """One over-long vector discards no other, in one block as in several."""
+    items = spark.createDataFrame([("i", [1.0, 0.0]), ("j", [0.6, 0.8]), ("k", [1.0, 0.0, 0.0]), ("w", [1.0])], VEC)
+    skills = spark.createDataFrame([("a", [1.0, 0.0]), ("c", [0.0, 1.0]), ("long", [1.0, 0.0, 0.0]), ("none", None)], "name string, q array<float>")
+    for most in (similarity.MOST_NUMBERS, 3):
+        got = sorted((r[0], r[1], round(r[2], 3)) for r in similarity.similarities(items, skills, "id", "v", "name", "q", 0.6, most=most).collect())
+        assert got == [("i", "a", 1.0), ("j", "a", 0.6), ("j", "c", 0.8), ("k", "long", 1.0)]
+
+
 def test_fuzzy(spark):
     n = spark.createDataFrame([("machine lerning",), ("xyz",), (None,), ("",)], "name string")
     c = spark.createDataFrame([("machine learning",), ("machine leaning",), ("machine",)], "canonical string")
