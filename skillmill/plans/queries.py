@@ -149,8 +149,12 @@ def fuzzy_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def canonicalise_mentions(spark: SparkSession, d: str) -> DataFrame:
+    """All three stages; the vectors are those of the stand-in encoder."""
     raw = _mentions(spark, d).select("file_id", F.col("skill_name").alias("name"), F.col("evidence_text").alias("context"))
-    merged = similarity.merge_mentions(similarity.canonicalise(raw, dic.for_canonicalising(_reference(spark, d)), "file_id"), "file_id")
+    rows = dic.for_canonicalising(_reference(spark, d))
+    vectors = similarity.encode(raw.select(tx.skill_norm("name").alias("name")).where("name <> ''"), "name", similarity.HashedEncoder)
+    skills = similarity.encode(rows.select("canonical"), "canonical", similarity.HashedEncoder)
+    merged = similarity.merge_mentions(similarity.canonicalise(raw, rows, "file_id", vectors=vectors, skills=skills), "file_id")
     return merged.withColumn("sources", F.array_join("sources", "|"))
 
 

@@ -25,3 +25,9 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "PushedFilters: [IsNotNull(Resume_str)]" in plan and "ReadSchema: struct<row_id:bigint,Resume_str:string>" in plan
     joins = queries.QUERIES["keyword_match"](spark, FOLDER)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" in joins and "NestedLoop" not in joins and "Cartesian" not in joins
+
+
+def test_mentions_are_canonicalised_by_vector_too(spark):
+    got = queries.QUERIES["canonicalise_mentions"](spark, FOLDER).cache()
+    assert got.where("confidence > 0.99").count() > 0 and got.where("confidence > 0 and confidence < 0.99").count() > 0
+    assert got.where("confidence is null").count() == 0
