@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
+from ..functions.text import sentences
 from ..operators import dictionary as dic
-from ..operators import matching, results
+from ..operators import matching, results, similarity
 from ..operators import vocabulary as voc
 from ..sources.tables import unite
 
@@ -29,6 +32,17 @@ def _sorted(rows: DataFrame, name: str, column: str = "skill") -> DataFrame:
     return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set(column)).alias(name))
 
 
+def vector_hits(docs: DataFrame, entries: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], settings: Settings = Settings()) -> DataFrame:
+    """``doc_id, canonical, similarity``: the most similar sentence of each document for each entry that it reaches the threshold of.
+
+    Each distinct sentence is encoded once. Entries are those of the rules, by name.
+    """
+    parts = docs.select("doc_id", F.explode(F.array_distinct(sentences("text"))).alias("sentence"))
+    skills = similarity.encode(dic.for_rules(entries).select("canonical"), "canonical", encoder)
+    hits = similarity.similarities(similarity.encode(parts, "sentence", encoder), skills, "sentence", "vector", "canonical", "vector", settings.similarity_threshold)
+    return similarity.best_similarity(parts.join(hits, "sentence"), ["doc_id", "canonical"])
+
+
 def hybrid(inputs: Inputs, settings: Settings = Settings()) -> DataFrame:
     """``doc_id, skill, score, level, place`` by rules and vectors, ranked and cut to the most per document."""
     rows = dic.for_rules(inputs.entries)

@@ -313,7 +313,12 @@ def request_payload(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def document_results(spark: SparkSession, d: str) -> DataFrame:
-    out = pipeline.analyse(pipeline.Inputs(_docs(spark, d), _reference(spark, d)))
+    """By all extractors: the vectors are those of the stand-in encoder, the canned model answer of a document names the mention of its number."""
+    docs, entries = _docs(spark, d), _reference(spark, d)
+    raw = F.to_json(F.struct(F.array(F.col("skill_name"), F.upper("skill_name")).alias("skills")), {"ignoreNullFields": "false"})
+    answers = load(spark, d, "skill").where("skill_name is not null").select(F.col("mention_id").alias("doc_id"), raw.alias("raw")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    vectors = pipeline.vector_hits(docs, entries, similarity.HashedEncoder)
+    out = pipeline.analyse(pipeline.Inputs(docs, entries, vectors, results.parse_flat(answers)))
     lists = [F.array_join(c, "|").alias(c) for c in ("keyword_skills", "embedding_skills", "model_skills", "final_skills")]
     return out.select("doc_id", *lists, F.array_join(F.transform("final_structured", lambda x: F.concat_ws(":", x["name"], x["level"])), "|").alias("final_structured"))
 

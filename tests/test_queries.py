@@ -31,3 +31,8 @@ def test_mentions_are_canonicalised_by_vector_too(spark):
     got = queries.QUERIES["canonicalise_mentions"](spark, FOLDER).cache()
     assert got.where("confidence > 0.99").count() > 0 and got.where("confidence > 0 and confidence < 0.99").count() > 0
     assert got.where("confidence is null").count() == 0
+
+
+def test_document_results_have_model_answers(spark):
+    got = queries.QUERIES["document_results"](spark, FOLDER).cache()
+    assert got.where("model_skills <> ''").count() > 0 and got.where("embedding_skills <> ''").count() > 0

@@ -195,3 +195,14 @@ def test_stream_keeps_documents_without_text(spark, tmp_path):
     q.awaitTermination(60)
     by_id = lambda rows: sorted(rows, key=lambda r: r.doc_id)
     assert by_id(seen) == by_id(pipeline.analyse(pipeline.Inputs(docs, e)).collect()) and [r.doc_id for r in by_id(seen)] == [1, 2, 3]
+
+
+def test_vector_hits_of_sentences(spark):
+    from skillmill.operators.similarity import HashedEncoder
+
+    docs = spark.createDataFrame([(1, "Machine lerning. Something else\nmachine learning"), (2, "machine lerning"), (3, None), (4, "Machine lerning. sql")], "doc_id bigint, text string")
+    e = spark.createDataFrame([("machine learning", ["ml"], 0), ("sql", ["sql"], 1)], "canonical string, aliases array<string>, pos bigint")
+    hits = pipeline.vector_hits(docs, e, HashedEncoder)
+    got = {(r.doc_id, r.canonical): r.similarity for r in hits.collect()}
+    assert set(got) == {(1, "machine learning"), (2, "machine learning"), (4, "machine learning"), (4, "sql")} and got[1, "machine learning"] > 0.999 > got[2, "machine learning"]
+    assert {r.doc_id: r.embedding_skills for r in pipeline.analyse(pipeline.Inputs(docs, e, hits)).collect()} == {1: ["machine learning"], 2: ["machine learning"], 3: [], 4: ["machine learning", "sql"]}
