@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from .. import config as cfg
 from ..functions.levels import level_near, searchable
 from ..functions.text import json_object, strip, without_fence, without_trailing_commas
-from ..session import spread_by
+from ..session import settled, spread_by
 from .dictionary import last_writer
-from .matching import sized
 
 
 def normalise(flat: DataFrame, rows: DataFrame | None, key: str = "doc_id", skill: str = "skill") -> DataFrame:
@@ -19,7 +18,7 @@ def normalise(flat: DataFrame, rows: DataFrame | None, key: str = "doc_id", skil
     named = flat.select(key, F.lower(strip(F.col(skill))).alias("phrase")).where(F.col("phrase").isNotNull() & (F.col("phrase") != "") & ~F.col("phrase").isin(*cfg.GENERIC_WORDS))
     if rows is None:
         return named.select(key, F.col("phrase").alias("skill")).distinct()
-    return named.join(sized(last_writer(rows)), "phrase", "left").select(key, F.coalesce("canonical", "phrase").alias("skill")).distinct()
+    return named.join(settled(last_writer(rows))[0], "phrase", "left").select(key, F.coalesce("canonical", "phrase").alias("skill")).distinct()
 
 
 def first_spelling(items: DataFrame, key: str = "doc_id", pos: str = "pos", item: str = "item") -> DataFrame:
@@ -49,7 +48,7 @@ def unite_hits(rule: DataFrame, vector: DataFrame | None, key: str = "doc_id", s
 def add_levels(hits: DataFrame, docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``hits`` with ``level``, read around the first mention; a skill that is no entry is its own alias."""
     lists = rows.groupBy(F.col("canonical").alias("skill")).agg(F.array_sort(F.collect_set("phrase")).alias("_aliases"))
-    joined = spread_by(hits.join(sized(lists), "skill", "left"), key).join(docs.select(key, F.col(text).alias("_text"), searchable(text).alias("_hay")), key)
+    joined = spread_by(hits.join(settled(lists)[0], "skill", "left"), key).join(docs.select(key, F.col(text).alias("_text"), searchable(text).alias("_hay")), key)
     return joined.withColumn("level", level_near("_text", F.coalesce("_aliases", F.array("skill")), hay=F.col("_hay"))).drop("_text", "_hay", "_aliases")
 
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import context_score, skill_norm, strip
+from ..session import settled
 from . import dictionary as dic
-from .matching import sized
 
 #: Vectors of the skill side that go to every worker: at most this many numbers (256 MB as float32).
 MOST_NUMBERS = 64_000_000
@@ -88,7 +88,7 @@ def nearest(items: DataFrame, skills: DataFrame, key: str, vector: str, name: st
 def cosine_to(pairs: DataFrame, skills: DataFrame, vector: str, name: str, skill_vector: str) -> DataFrame:
     """``pairs`` with ``confidence``: the similarity of its vector to the vector of its own ``name``; 0 where that is unknown."""
     own = skills.select(F.col(name), F.col(skill_vector).alias("_v"))
-    return pairs.join(sized(own), name, "left").withColumn("confidence", F.coalesce(dot(F.col(vector), F.col("_v")), F.lit(0.0))).drop("_v")
+    return pairs.join(settled(own)[0], name, "left").withColumn("confidence", F.coalesce(dot(F.col(vector), F.col("_v")), F.lit(0.0))).drop("_v")
 
 
 def ratio(a: str, b: str) -> float:
@@ -107,7 +107,7 @@ def fuzzy_match(names: DataFrame, canonicals: DataFrame, least: float = 0.92, na
     n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
     word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")))
     c = canonicals.select(F.col(canonical).alias("canonical")).distinct()
-    pairs = n.select("name", word("name").alias("w")).join(sized(c.select("canonical", word("canonical").alias("w"))), "w").select("name", "canonical").distinct()
+    pairs = n.select("name", word("name").alias("w")).join(settled(c.select("canonical", word("canonical").alias("w")))[0], "w").select("name", "canonical").distinct()
     la, lb = F.length("name"), F.length("canonical")
     close = pairs.where(2 * F.least(la, lb) / (la + lb) >= least).withColumn("ratio", fuzzy_ratio("name", "canonical")).where(F.col("ratio") >= least)
     return close.groupBy("name").agg(F.min_by("canonical", F.struct(-F.col("ratio"), F.col("canonical"))).alias("canonical"), F.max("ratio").alias("ratio"))
@@ -115,8 +115,8 @@ def fuzzy_match(names: DataFrame, canonicals: DataFrame, least: float = 0.92, na
 
 def look_up(names: DataFrame, rows: DataFrame, name: str = "name") -> DataFrame:
     """``names`` with ``looked_up``: the entry of that very name, else the first entry of which it is an alias, else null."""
-    own = sized(rows.select(F.col("canonical").alias(name), F.col("canonical").alias("_own")).distinct())
-    alias = sized(dic.first_canonical(rows).select(F.col("phrase").alias(name), F.col("canonical").alias("_alias")))
+    own, _ = settled(rows.select(F.col("canonical").alias(name), F.col("canonical").alias("_own")).distinct())
+    alias, _ = settled(dic.first_canonical(rows).select(F.col("phrase").alias(name), F.col("canonical").alias("_alias")))
     return names.join(own, name, "left").join(alias, name, "left").withColumn("looked_up", F.coalesce("_own", "_alias")).drop("_own", "_alias")
 
 

@@ -12,7 +12,7 @@ from ..functions.levels import first_mention, level_near, level_of, searchable
 from ..operators import dictionary as dic
 from ..operators import matching, results, similarity
 from ..operators import vocabulary as voc
-from ..session import load, spread, spread_by
+from ..session import load, settled, spread, spread_by
 from ..sources.tables import resume_corpus, unite
 from . import pipeline
 from .sql import SQL  # noqa: F401
@@ -247,7 +247,7 @@ def level_window(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     hits = keyword_match(spark, d).withColumnRenamed("canonical", "skill")
     lists = dic.for_keywords(_reference(spark, d)).groupBy(F.col("canonical").alias("skill")).agg(F.array_sort(F.collect_set("phrase")).alias("aliases"))
-    joined = spread_by(hits.join(matching.sized(lists), "skill"), "doc_id").join(docs.withColumn("hay", searchable("text")), "doc_id")
+    joined = spread_by(hits.join(settled(lists)[0], "skill"), "doc_id").join(docs.withColumn("hay", searchable("text")), "doc_id")
     return joined.select("doc_id", "skill", first_mention("text", "aliases", F.col("hay")).alias("first_at"), level_near("text", "aliases", hay=F.col("hay")).alias("level"))
 
 

@@ -8,7 +8,7 @@ from .. import config as cfg
 
 #: White space as Unicode has it, and word characters.
 WS = r"[\s\p{Z}\x0b\x1c-\x1f\x85]"
-WORD = r"\p{L}\p{M}\p{N}_"
+WORD = r"\p{L}\p{N}_"
 
 
 def _strip(e: str) -> str:

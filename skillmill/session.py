@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -70,13 +71,36 @@ def spread_by(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+#: What is sent to every executor has at most so many rows and bytes.
+SENT_ROWS, SENT_BYTES = 200_000, 64_000_000
+
+
+def collected(df: DataFrame) -> list[tuple] | None:
+    """The rows of ``df``, or null if it has more than SENT_ROWS rows or SENT_BYTES bytes."""
+    got = df.limit(SENT_ROWS + 1).toArrow()
+    if got.num_rows > SENT_ROWS or got.nbytes > SENT_BYTES:
+        return None
+    return list(zip(*(c.to_pylist() for c in got.columns)))
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, bool]:
+    """``df`` computed once and marked for broadcast where it is seen to have no more than SENT_ROWS rows and SENT_BYTES
+    bytes, and whether it is so; a larger one is written to the shared folder, to be joined by a shuffle."""
+    got = df.limit(SENT_ROWS + 1).toArrow()
+    if got.num_rows > SENT_ROWS or got.nbytes > SENT_BYTES:
+        return cut(df), False
+    return F.broadcast(df.sparkSession.createDataFrame(got, df.schema)), True
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` in the shared folder of ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, as in local tests.
+    A local session that names none, as in tests, gets a folder of its own; a cluster must name one that all its nodes share.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that all nodes share")
         sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "skillmill-checkpoints"))
     return df.checkpoint()

@@ -1,8 +1,8 @@
 import re
 
-import regex
 from pyspark.sql import functions as F
 
+from skillmill import session
 from skillmill.operators import dictionary as dic
 from skillmill.operators import matching, results, similarity
 from skillmill.operators import vocabulary as voc
@@ -39,7 +39,7 @@ def test_keyword_match_against_patterns(spark):
     texts = ["c++ and C#!", "c+++", "(.net) node.js x.net", "data base sql", "data  base", "été x-y", "l'été a b c", "a b  c", "++ here", "c++x b", "x-y-z", "my_sql", "à b"]
     docs = spark.createDataFrame(list(enumerate(texts)), DOC)
     got = pairs(matching.match_phrases(docs, dic.for_keywords(entries(spark, {p: [p] for p in phrases}))))
-    want = sorted((i, p) for i, t in enumerate(texts) for p in phrases if regex.search(rf"(?<!\w){re.escape(p)}(?!\w)", t.lower()))
+    want = sorted((i, p) for i, t in enumerate(texts) for p in phrases if re.search(rf"(?<!\w){re.escape(p)}(?!\w)", t.lower()))
     assert got == want
 
 
@@ -66,14 +66,29 @@ def test_phrases_without_anchor_have_no_cap(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), DOC)
     e = entries(spark, {p: [p] for p in phrases})
     rules = sorted((i, p) for i, t in enumerate(texts) for p in phrases if p in t.lower())
-    words = sorted((i, p) for i, t in enumerate(texts) for p in phrases if regex.search(rf"(?<!\w){re.escape(p)}(?!\w)", t.lower()))
-    monkeypatch.setattr(matching, "BROADCAST_PHRASES", 2)
+    words = sorted((i, p) for i, t in enumerate(texts) for p in phrases if re.search(rf"(?<!\w){re.escape(p)}(?!\w)", t.lower()))
     for most in (200_000, 2):
-        monkeypatch.setattr(matching.sized, "__defaults__", (most,))
+        monkeypatch.setattr(session, "SENT_ROWS", most)
         assert pairs(matching.match_rules(docs, dic.for_rules(e))) == rules
         assert pairs(matching.match_phrases(docs, dic.for_keywords(e))) == words
 
 
+def test_phrases_that_reach_further_than_the_pieces_at_hand(spark, monkeypatch):
+    """Long phrases are compared with the text itself, whatever the reach."""
+    long = " ".join(f"w{i}" for i in range(40))
+    phrases = [long, f"{long} c++", "- " + long, "été " * 20 + "x", "a b c d e f", "e.f ü"]
+    texts = [f"say {long}.", f"{long} c++ x", f"x- {long}", f"y{long}", f"- {long}z", "l'" + "été " * 20 + "xx", "été " * 20 + "x", "A b c d e f!", "a b c d e ff", None]
+    docs = spark.createDataFrame([*enumerate(texts), (None, texts[0])], DOC)
+    e = entries(spark, {p: [p] for p in phrases})
+    keyed = [*enumerate(texts), (None, texts[0])]
+    rules = sorted(((i, p) for i, t in keyed for p in phrases if t and "." not in p and (re.search(rf"\b{p}\b", t.lower()) if re.fullmatch("[a-z0-9 ]+", p) else p in t.lower())), key=str)
+    words = sorted(((i, p) for i, t in keyed for p in phrases if t and re.search(rf"(?<!\w){re.escape(p)}(?!\w)", t.lower())), key=str)
+    for reach in (12, 1):
+        monkeypatch.setattr(matching, "REACH", reach)
+        assert sorted(map(tuple, matching.match_rules(docs, dic.for_rules(e)).collect()), key=str) == rules
+        assert sorted(map(tuple, matching.match_phrases(docs, dic.for_keywords(e)).collect()), key=str) == words
+
+
 def test_loading_rules(spark):
     e = entries(spark, {" SQL ": ["MySQL", None, ""], "sql": ["pg"], "Go": None, "": ["x"]})
     assert pairs(dic.for_keywords(e).select("canonical", "phrase")) == [("go", "go"), ("sql", "mysql"), ("sql", "pg"), ("sql", "sql")]
