@@ -44,7 +44,9 @@ def level_of(text: Column | str, aliases: Column | str) -> Column:
     stated before an alias, 5 or more 3, 3 or more 2, fewer 1; strong, proficient or extensive 2; else 1. Null text gives 1."""
 
     def graded(hay: Column, names: Column) -> Column:
-        years = F.array_max(F.transform(names, lambda a: F.call_function("regexp_extract", hay, _year_pattern(a), F.lit(1)).try_cast("int")))
+        # no number gives '', of which a cast would be tried in vain at the price of an exception
+        years = F.array_max(F.transform(names, lambda a: F.nullif(F.call_function("regexp_extract", hay, _year_pattern(a), F.lit(1)), F.lit("")).try_cast("int")))
+        years = F.when(hay.rlike(r"\d"), years)
         by_years = let(years, lambda y: F.when(y >= 5, 3).when(y >= 3, 2).when(y.isNotNull(), 1).when(hay.rlike("strong|proficient|extensive"), 2).otherwise(1))
         return (
             F.when(~F.exists(names, lambda a: hay.contains(a)), 1)

@@ -206,18 +206,11 @@ def balanced(text: str | None) -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def _search_object(s: pd.Series) -> pd.Series:
+def search_object(s: pd.Series) -> pd.Series:
+    """``balanced`` of each text: nested braces are beyond regular patterns."""
     return s.map(balanced, na_action="ignore")
 
 
-def json_object(c: Column | str) -> Column:
-    """The first balanced object of each text. A text that is one object as a whole is seen to be one without leaving the JVM;
-    nested braces are beyond regular patterns, so the others are searched in Python."""
-    c = _c(c)
-    whole = c.startswith("{") & F.try_parse_json(c).isNotNull()
-    return F.when(whole, c).otherwise(_search_object(F.when(~whole, c)))
-
-
 def without_trailing_commas(c: Column | str) -> Column:
     return F.regexp_replace(_c(c), r",\s*([}\]])", "$1")
 

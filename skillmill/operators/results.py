@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions.levels import level_near, searchable
-from ..functions.text import json_object, strip, without_fence, without_trailing_commas
+from ..functions.text import let, search_object, strip, without_fence, without_trailing_commas
 from ..session import settled, spread_by
 from .dictionary import last_writer
 
@@ -46,10 +48,22 @@ def unite_hits(rule: DataFrame, vector: DataFrame | None, key: str = "doc_id", s
 
 
 def add_levels(hits: DataFrame, docs: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``hits`` with ``level``, read around the first mention; a skill that is no entry is its own alias."""
+    """``hits`` with ``level``, read around the first mention; a skill that is no entry is its own alias.
+
+    The hits of a document are brought together first, so that its text is shuffled once and read once."""
     lists = rows.groupBy(F.col("canonical").alias("skill")).agg(F.array_sort(F.collect_set("phrase")).alias("_aliases"))
-    joined = spread_by(hits.join(settled(lists)[0], "skill", "left"), key).join(docs.select(key, F.col(text).alias("_text"), searchable(text).alias("_hay")), key)
-    return joined.withColumn("level", level_near("_text", F.coalesce("_aliases", F.array("skill")), hay=F.col("_hay"))).drop("_text", "_hay", "_aliases")
+    own = [c for c in hits.columns if c != key]
+    named = hits.join(settled(lists)[0], "skill", "left")
+    grouped = spread_by(named, key).groupBy(key).agg(F.collect_list(F.struct(*own, F.coalesce("_aliases", F.array("skill")).alias("_aliases"))).alias("_hits"))
+    met = grouped.join(docs.select(key, F.col(text).alias("_text")), key)
+    graded = with_levels(met, "_hits", "_text", lambda h, level: F.struct(*[h[c].alias(c) for c in own], level.alias("level")))
+    return graded.select(key, F.inline("_hits"))
+
+
+def with_levels(df: DataFrame, hits: str, text: str, use: Callable[[Column, Column], Column]) -> DataFrame:
+    """``df`` with each of the array ``hits`` (structs with ``_aliases``) replaced by ``use(hit, level)``: a narrow map."""
+    each = let(searchable(text), lambda hay: F.transform(hits, lambda h: use(h, level_near(F.col(text), h["_aliases"], hay=hay))))
+    return df.withColumn(hits, each)
 
 
 def attach_levels(final: DataFrame, levels: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -77,19 +91,21 @@ def gap_rows(resume: DataFrame, job: DataFrame, key: str) -> tuple[DataFrame, Da
 def parse_flat(answers: DataFrame, key: str = "doc_id", raw: str = "raw") -> DataFrame:
     """``key, item`` of answers {"skills": [...]}, read strictly: anything else gives nothing. Items become strings, blanks are
     dropped, the first spelling wins."""
-    v = F.try_parse_json(raw)
-    listed = F.from_json(F.get_json_object(raw, "$.skills"), "array<string>")
-    ok = F.schema_of_variant(v).startswith("OBJECT") & F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.skills", "variant")).startswith("ARRAY"), F.lit(False))
-    rows = answers.where(v.isNotNull()).where(ok).select(key, F.posexplode(listed).alias("pos", "item"))
-    return first_spelling(rows, key)
+    own = F.col(raw)
+    listed = lambda v: F.when(F.try_variant_get(v, "$.skills", "array<variant>").isNotNull(), F.from_json(F.get_json_object(own, "$.skills"), "array<string>"))
+    return first_spelling(answers.select(key, F.posexplode(let(F.try_parse_json(own), listed)).alias("pos", "item")), key)
+
 
+ANSWER = "struct<skills: array<map<string,string>>>"
 
-ANSWER = "struct<skills: array<struct<skill_name: string, category: string, level: string, years_experience: string, evidence_text: string, confidence: string>>>"
 
+def repaired_objects(answers: DataFrame, key: str, raw: str) -> DataFrame:
+    """``key, o``: the JSON object inside each answer: fence removed, first balanced object, trailing commas removed; null if there is none.
 
-def repaired_object(raw: Column | str) -> Column:
-    """The JSON object inside an answer: fence removed, first balanced object, trailing commas removed; null if there is none."""
-    return without_trailing_commas(json_object(without_fence(raw)))
+    An answer that is one object as a whole, as most are, is seen to be one without leaving the JVM."""
+    inside = answers.select(key, without_fence(raw).alias("c"))
+    seen = inside.select(key, "c", (F.col("c").startswith("{") & F.try_parse_json("c").isNotNull()).alias("whole"))
+    return seen.select(key, without_trailing_commas(F.when(F.col("whole"), F.col("c")).otherwise(search_object(F.when(~F.col("whole"), F.col("c"))))).alias("o"))
 
 
 def validate(answers: DataFrame, key: str = "doc_id", raw: str = "raw") -> DataFrame:
@@ -98,10 +114,6 @@ def validate(answers: DataFrame, key: str = "doc_id", raw: str = "raw") -> DataF
     All or nothing: one bad element makes the whole answer empty. Names, category and evidence become stripped text that
     must not be empty; the level is one of four; the confidence lies in 0..1; years may be missing. Numbers may be strings.
     """
-    objects = answers.select(key, repaired_object(raw).alias("o")).where(F.try_parse_json("o").isNotNull())
-    v = F.try_parse_json("o")
-    listed = F.schema_of_variant(F.try_variant_get(v, "$.skills", "variant")).startswith("ARRAY")
-    parsed = objects.where(F.coalesce(listed, F.lit(False))).select(key, F.from_json(F.get_json_object("o", "$.skills"), "array<map<string,string>>").alias("skills"), F.from_json("o", ANSWER)["skills"].alias("typed"))
     text = lambda m, k: F.when(F.map_contains_key(m, F.lit(k)), strip(F.coalesce(m[k], F.lit("None"))))
     number = lambda m, k: F.when(m[k] == "true", F.lit(1.0)).when(m[k] == "false", F.lit(0.0)).otherwise(m[k].try_cast("double"))
 
@@ -112,9 +124,11 @@ def validate(answers: DataFrame, key: str = "doc_id", raw: str = "raw") -> DataF
         years = m["years_experience"].isNull() | number(m, "years_experience").isNotNull()
         return named[0] & named[1] & named[2] & level & sure & years & m.isNotNull()
 
-    fine = parsed.where(F.coalesce(F.forall("skills", good), F.lit(False)) & (F.size("skills") == F.size("typed")))
+    fine = lambda skills: F.when(F.forall(skills, good), skills)
+    skills = let(F.when(F.try_parse_json("o").isNotNull(), F.from_json("o", ANSWER)["skills"]), fine)
+    parsed = repaired_objects(answers, key, raw).select(key, F.explode(skills).alias("m"))
     m = F.col("m")
-    return fine.select(key, F.explode("skills").alias("m")).select(
+    return parsed.select(
         key, text(m, "skill_name").alias("skill_name"), text(m, "category").alias("category"), F.lower(text(m, "level")).alias("level"),
         number(m, "years_experience").alias("years_experience"), text(m, "evidence_text").alias("evidence_text"), number(m, "confidence").alias("confidence"),
     )

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,10 @@ from ..functions.text import context_score, skill_norm, strip
 from ..session import settled
 from . import dictionary as dic
 
-#: Vectors of the skill side that go to every worker: at most this many numbers (256 MB as float32).
-MOST_NUMBERS = 64_000_000
+#: Numbers of the skill side that go to every worker at once (256 MB as doubles); a larger side is met in blocks of BLOCK_NUMBERS.
+MOST_NUMBERS, BLOCK_NUMBERS = 32_000_000, 4_000_000
+#: Items that meet a matrix in one product.
+BATCH = 1024
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -25,53 +28,101 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x))
 
 
-def _matrices(skills: DataFrame, name: str, vector: str) -> dict[int, tuple[list, np.ndarray]]:
-    """The skill side in order of name, a matrix for each length of vector; its size has been checked."""
-    by_width: dict[int, list] = {}
-    for r in skills.select(name, vector).orderBy(name).collect():
-        by_width.setdefault(len(r[1]), []).append(r)
-    return {w: ([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)) for w, rows in by_width.items()}
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """A matrix of vectors of equal length, without copying them one by one."""
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(lists), -1)
 
 
-def similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float = 0.6, most: int = MOST_NUMBERS) -> DataFrame:
-    """``key, name, similarity`` of every pair at or above ``threshold``: one matrix product for each batch of items.
+def _same_length(vectors: pa.Array, width: int) -> np.ndarray:
+    """Places of the vectors of that length without nulls inside."""
+    rows = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False).to_numpy(zero_copy_only=False))
+    if not vectors.flatten().null_count:
+        return rows
+    return np.array([i for i in rows if not vectors[int(i)].values.null_count], np.int64)
 
-    The skill matrix is sent to the workers, so items are neither shuffled nor paired up row by row. If it has more than
-    ``most`` numbers, the items meet it in blocks of that size, one after the other. Vectors of equal length are compared,
-    as in ``dot``; rows with a null vector or one of a length that the other side lacks give nothing.
+
+#: (products of a batch with the matrix, names of the matrix) -> rows and columns that are kept
+Pick = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def _above(threshold: float) -> Pick:
+    return lambda s: np.nonzero(s >= threshold)
+
+
+def _best(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.arange(len(s)), s.argmax(axis=1)  # the first of equal ones: names are in order
+
+
+def _products(keys: pa.Array, vectors: pa.Array, names: pa.Array, mat: np.ndarray, pick: Pick) -> Iterator[pa.RecordBatch]:
+    rows = _same_length(vectors, mat.shape[1])
+    for at in range(0, len(rows), BATCH):
+        part = pa.array(rows[at : at + BATCH])
+        s = _matrix(vectors.take(part)) @ mat.T
+        i, j = pick(s)
+        yield pa.RecordBatch.from_arrays([keys.take(part.take(pa.array(i))), names.take(pa.array(j)), pa.array(s[i, j])], names=["key", "name", "similarity"])
+
+
+def _meet(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, pick: Pick, most: int | None = None) -> DataFrame:
+    """``key, name, similarity`` of the pairs that ``pick`` takes of each product of a batch of items with a matrix of skills.
+
+    A skill side of up to ``most`` numbers is sent to the workers, so that items are neither shuffled nor paired up row by row.
+    A larger one is written as matrices of about BLOCK_NUMBERS numbers, which batches of items meet by block.
     """
-    skills = skills.where(F.col(name).isNotNull() & (F.size(skill_vector) > 0))
-    numbers = skills.agg(F.sum(F.size(skill_vector))).first()[0] or 0
-    blocks = max(1, -(-numbers // most))
-    out = None
-    for b in range(blocks):
-        own = skills if blocks == 1 else skills.where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b)
-        got = _block_similarities(items, own, key, vector, name, skill_vector, threshold)
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def _block_similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float) -> DataFrame:
-    matrices = _matrices(skills, name, skill_vector)
+    most = MOST_NUMBERS if most is None else most
+    own = skills.select(F.col(name).alias("n"), F.col(skill_vector).alias("v")).where(F.col("n").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull()))
     kinds = [items.schema[key].dataType.simpleString(), skills.schema[name].dataType.simpleString()]
-    if not matrices:
-        return items.select(key, F.lit(None).cast(kinds[1]).alias(name), F.lit(0.0).alias("similarity")).where("false")
-    sent = items.sparkSession.sparkContext.broadcast(matrices)
-    name_type = pa.array([n for names, _ in matrices.values() for n in names]).type
+    schema = f"key {kinds[0]}, name {kinds[1]}, similarity double"
+    sides = items.select(F.col(key).alias("key"), F.col(vector).alias("v")).where("v is not null")
+    numbers = own.agg(F.sum(F.size("v"))).first()[0] or 0
+    if numbers <= most:
+        table = own.toArrow().sort_by("n")
+        lengths = pc.list_value_length(table["v"])
+        matrices = [(t["n"].combine_chunks(), _matrix(t["v"].combine_chunks())) for w in pc.unique(lengths).to_pylist() for t in [table.filter(pc.equal(lengths, w))]]
+        sent = items.sparkSession.sparkContext.broadcast(matrices)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for names, mat in sent.value:
+                    yield from _products(b.column(0), b.column(1), names, mat, pick)
+
+        return sides.mapInArrow(run, schema).toDF(key, name, "similarity")
+    blocks = -(-numbers // min(most, BLOCK_NUMBERS))
+
+    def pack(t: pa.Table) -> pa.Table:
+        t = t.sort_by("n")
+        width = pc.list_value_length(t["v"])[0].as_py()
+        return pa.table({"block": t["block"][:1], "w": pa.array([width], pa.int32()), "names": pa.array([t["n"].to_pylist()], pa.list_(t["n"].type)), "mat": pa.array([_matrix(t["v"].combine_chunks()).tobytes()], pa.binary())})
+
+    def batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for w in pc.unique(pc.list_value_length(b.column(1))).to_pylist():
+                rows = pa.array(_same_length(b.column(1), w))
+                for at in range(0, len(rows), BATCH):
+                    part = rows[at : at + BATCH]
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([b.column(0).take(part).to_pylist()], pa.list_(b.column(0).type)), pa.array([_matrix(b.column(1).take(part)).tobytes()], pa.binary())], names=["w", "keys", "vs"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            vectors = b.column(1).to_pylist()
-            for width, (own, mat) in sent.value.items():
-                rows = [i for i, v in enumerate(vectors) if v is not None and len(v) == width and None not in v]
-                for at in range(0, len(rows), 1024):
-                    part = np.array(rows[at : at + 1024])
-                    s = np.array([vectors[i] for i in part], np.float64) @ mat.T
-                    i, j = np.nonzero(s >= threshold)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(part[i])), pa.array([own[k] for k in j], name_type), pa.array(s[i, j])], names=["key", "name", "similarity"])
+            w, keys, vs, names, mats = b.columns
+            for i in range(b.num_rows):
+                n = w[i].as_py()
+                s = np.frombuffer(vs[i].as_buffer(), np.float64).reshape(-1, n) @ np.frombuffer(mats[i].as_buffer(), np.float64).reshape(-1, n).T
+                x, y = pick(s)
+                yield pa.RecordBatch.from_arrays([keys[i].values.take(pa.array(x)), names[i].values.take(pa.array(y)), pa.array(s[x, y])], names=["key", "name", "similarity"])
+
+    cutting = own.withColumn("block", F.pmod(F.xxhash64("n"), F.lit(blocks)).cast("int")).withColumn("w", F.size("v"))
+    packed = cutting.groupBy("block", "w").applyInArrow(pack, f"block int, w int, names array<{kinds[1]}>, mat binary")
+    batched = sides.mapInArrow(batch, f"w int, keys array<{kinds[0]}>, vs binary").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return batched.join(packed, ["block", "w"]).select("w", "keys", "vs", "names", "mat").mapInArrow(multiply, schema).toDF(key, name, "similarity")
+
 
-    got = items.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInArrow(run, f"key {kinds[0]}, name {kinds[1]}, similarity double")
-    return got.toDF(key, name, "similarity")
+def similarities(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float = 0.6, most: int | None = None) -> DataFrame:
+    """``key, name, similarity`` of every pair at or above ``threshold``: one matrix product for each batch of items, see ``_meet``.
+
+    Vectors of equal length are compared, as in ``dot``; rows with a null vector, one with nulls inside, or one of a length
+    that the other side lacks give nothing.
+    """
+    return _meet(items, skills, key, vector, name, skill_vector, _above(threshold), most)
 
 
 def best_similarity(hits: DataFrame, keys: list[str]) -> DataFrame:
@@ -79,9 +130,11 @@ def best_similarity(hits: DataFrame, keys: list[str]) -> DataFrame:
     return hits.groupBy(*keys).agg(F.greatest(F.max("similarity"), F.lit(0.0)).alias("similarity"))
 
 
-def nearest(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float = 0.6) -> DataFrame:
-    """``key, name, similarity``: the nearest entry of every item, the first by name on ties; below ``threshold`` a null name with the score."""
-    best = similarities(items, skills, key, vector, name, skill_vector, -np.inf).groupBy(key).agg(F.min_by(name, F.struct(-F.col("similarity"), F.col(name))).alias(name), F.max("similarity").alias("similarity"))
+def nearest(items: DataFrame, skills: DataFrame, key: str, vector: str, name: str, skill_vector: str, threshold: float = 0.6, most: int | None = None) -> DataFrame:
+    """``key, name, similarity``: the nearest entry of every item, the first by name on ties; below ``threshold`` a null name with the score.
+
+    Each product of a batch with a matrix gives one row for an item, so that the shuffle carries the best of each block only."""
+    best = _meet(items, skills, key, vector, name, skill_vector, _best, most).groupBy(key).agg(F.min_by(name, F.struct(-F.col("similarity"), F.col(name))).alias(name), F.max("similarity").alias("similarity"))
     return best.select(key, F.when(F.col("similarity") >= threshold, F.col(name)).alias(name), "similarity")
 
 
@@ -101,16 +154,30 @@ def fuzzy_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789 "
+
+
+def _letters(c: str) -> Column:
+    """How often each letter of a small alphabet occurs, and how many other characters there are."""
+    own = [F.length(c) - F.length(F.replace(F.col(c), F.lit(x), F.lit(""))) for x in _ALPHABET]
+    return F.array(*own, F.length(F.regexp_replace(c, f"[{_ALPHABET}]", "")))
+
+
 def fuzzy_match(names: DataFrame, canonicals: DataFrame, least: float = 0.92, name: str = "name", canonical: str = "canonical") -> DataFrame:
     """``name, canonical, ratio``: for each distinct name the entry with the largest ratio of at least ``least``, the first by name
-    on ties. Only entries that share a word with it are compared, and only where the lengths allow the ratio."""
-    n = names.select(F.col(name).alias("name")).where("name is not null").distinct()
+    on ties. Only entries that share a word with it are compared. Names meet entries by word and length, so that entries
+    whose length rules the ratio out are never met; the letters in common bound the ratio before it is computed in Python."""
+    n = names.select(F.col(name).alias("name")).where("name is not null").distinct().withColumn("la", F.length("name")).withColumn("na", _letters("name"))
     word = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.col(c), r"\s+"), lambda w: w != "")))
-    c = canonicals.select(F.col(canonical).alias("canonical")).distinct()
-    pairs = n.select("name", word("name").alias("w")).join(settled(c.select("canonical", word("canonical").alias("w")))[0], "w").select("name", "canonical").distinct()
-    la, lb = F.length("name"), F.length("canonical")
-    close = pairs.where(2 * F.least(la, lb) / (la + lb) >= least).withColumn("ratio", fuzzy_ratio("name", "canonical")).where(F.col("ratio") >= least)
-    return close.groupBy("name").agg(F.min_by("canonical", F.struct(-F.col("ratio"), F.col("canonical"))).alias("canonical"), F.max("ratio").alias("ratio"))
+    # 2 * min / (la + lb) >= least
+    reach = F.sequence(F.ceil(F.col("la") * (least / (2 - least)) - 1e-9).cast("int"), F.floor(F.col("la") * ((2 - least) / least) + 1e-9).cast("int"))
+    c = canonicals.select(F.col(canonical).alias("canonical")).distinct().withColumn("lb", F.length("canonical")).withColumn("nb", _letters("canonical"))
+    entries, _ = settled(c.select("canonical", "lb", "nb", word("canonical").alias("w")))
+    met = n.select("name", "la", "na", word("name").alias("w")).withColumn("lb", F.explode(reach)).join(entries, ["w", "lb"])
+    common = F.aggregate(F.zip_with("na", "nb", lambda x, y: F.least(x, y)), F.lit(0), lambda a, x: a + x)
+    close = met.where(2 * common / (F.col("la") + F.col("lb")) >= least - 1e-9).select("name", "canonical").distinct()
+    scored = close.withColumn("ratio", fuzzy_ratio("name", "canonical")).where(F.col("ratio") >= least)
+    return scored.groupBy("name").agg(F.min_by("canonical", F.struct(-F.col("ratio"), F.col("canonical"))).alias("canonical"), F.max("ratio").alias("ratio"))
 
 
 def look_up(names: DataFrame, rows: DataFrame, name: str = "name") -> DataFrame:
@@ -163,11 +230,14 @@ class HashedEncoder:
         import xxhash
 
         out = np.zeros((len(texts), self.width))
+        known: dict[str, tuple[int, int]] = {}
         for i, t in enumerate(texts):
             padded = f"  {(t or '').lower()} "
-            for k in range(len(padded) - 2):
-                h = xxhash.xxh64_intdigest(padded[k : k + 3])
-                out[i, h % self.width] += 1 if h >> 63 else -1
+            for g in map("".join, zip(padded, padded[1:], padded[2:])):
+                if (at := known.get(g)) is None:
+                    h = xxhash.xxh64_intdigest(g)
+                    at = known[g] = (h % self.width, 1 if h >> 63 else -1)
+                out[i, at[0]] += at[1]
         norm = np.linalg.norm(out, axis=1, keepdims=True)
         return np.divide(out, norm, out=out, where=norm > 0)
 
@@ -178,7 +248,8 @@ def encode(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder()
         for b in batches:
-            vectors = model(b.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(list, vectors)), pa.list_(pa.float64()))], names=["t", "v"])
+            vectors = np.asarray(model(b.column(0).to_pylist()), np.float64)
+            ends = pa.array(np.arange(len(vectors) + 1, dtype=np.int32) * vectors.shape[1])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(vectors.ravel()))], names=["t", "v"])
 
     return df.select(F.col(text).alias("t")).where("t is not null").distinct().mapInArrow(run, "t string, v array<double>").toDF(text, out)

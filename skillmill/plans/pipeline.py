@@ -9,11 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import config as cfg
 from ..config import Settings
-from ..functions.text import sentences
+from ..functions.text import sentences, strip
 from ..operators import dictionary as dic
 from ..operators import matching, results, similarity
 from ..operators import vocabulary as voc
+from ..session import settled, spread_by
 from ..sources.tables import unite
 
 
@@ -28,16 +30,13 @@ class Inputs:
     model_skills: DataFrame | None = None
 
 
-def _sorted(rows: DataFrame, name: str, column: str = "skill") -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_set(column)).alias(name))
-
-
 def vector_hits(docs: DataFrame, entries: DataFrame, encoder: Callable[[], Callable[[list[str]], np.ndarray]], settings: Settings = Settings()) -> DataFrame:
     """``doc_id, canonical, similarity``: the most similar sentence of each document for each entry that it reaches the threshold of.
 
     Each distinct sentence is encoded once. Entries are those of the rules, by name.
     """
-    parts = docs.select("doc_id", F.explode(F.array_distinct(sentences("text"))).alias("sentence"))
+    # shuffled by sentence once, for the distinct ones and for the join
+    parts = spread_by(docs.select("doc_id", F.explode(F.array_distinct(sentences("text"))).alias("sentence")), "sentence")
     skills = similarity.encode(dic.for_rules(entries).select("canonical"), "canonical", encoder)
     hits = similarity.similarities(similarity.encode(parts, "sentence", encoder), skills, "sentence", "vector", "canonical", "vector", settings.similarity_threshold)
     return similarity.best_similarity(parts.join(hits, "sentence"), ["doc_id", "canonical"])
@@ -54,24 +53,48 @@ def hybrid(inputs: Inputs, settings: Settings = Settings()) -> DataFrame:
 def analyse(inputs: Inputs, settings: Settings = Settings()) -> DataFrame:
     """``doc_id`` and the arrays keyword_skills, embedding_skills, model_skills, final_skills, final_structured of every document.
 
-    A document in which nothing is found has empty arrays; so has every document where the dictionary is empty.
+    A document in which nothing is found has empty arrays; so has every document where the dictionary is empty. Rows that
+    share a ``doc_id`` have their hits united and keep a row each. The hits of all extractors go through one shuffle, then
+    meet the texts in another; ranking, levels and normal names are read within the row.
     """
-    keyword = matching.match_phrases(inputs.docs, dic.for_keywords(inputs.entries)).select("doc_id", F.col("canonical").alias("skill"))
-    ranked = hybrid(inputs, settings) if settings.enable_embeddings else None
-    flat = keyword
-    if ranked is not None:
-        flat = flat.unionByName(ranked.select("doc_id", "skill"))
-    model = inputs.model_skills.select("doc_id", F.col("item").alias("skill")) if inputs.model_skills is not None else None
-    if model is not None:
-        flat = flat.unionByName(model)
-    final = results.normalise(flat, dic.for_flat_map(inputs.entries))
-    levels = ranked if ranked is not None else final.select("doc_id", "skill", F.lit(1).alias("level")).where("false")
-    structured = results.attach_levels(final, levels).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("skill").alias("name"), "level"))).alias("final_structured"))
-    out = inputs.docs.select("doc_id").distinct()
-    for rows, name in ((keyword, "keyword_skills"), (ranked, "embedding_skills"), (model, "model_skills"), (final, "final_skills")):
-        out = out.join(_sorted(rows, name), "doc_id", "left") if rows is not None else out.withColumn(name, F.lit(None).cast("array<string>"))
-        out = out.withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return out.join(structured, "doc_id", "left").withColumn("final_structured", F.coalesce("final_structured", F.array().cast("array<struct<name:string,level:int>>")))
+    entries, own = inputs.entries, F.col("canonical").alias("skill")
+    none = F.lit(None).cast("double")
+    tagged = lambda df, tag, skill, similarity=none: df.select("doc_id", F.lit(tag).alias("tag"), skill, similarity.alias("similarity"))
+    hits = tagged(matching.phrase_hits(inputs.docs, dic.for_keywords(entries)), "keyword", own)
+    rules = dic.for_rules(entries)
+    if settings.enable_embeddings:
+        hits = hits.unionByName(tagged(matching.rule_hits(inputs.docs, rules), "rule", own))
+        if inputs.vector_hits is not None:
+            near = inputs.vector_hits.where(F.col("similarity") >= settings.similarity_threshold)
+            hits = hits.unionByName(tagged(near, "vector", own, F.col("similarity")))
+    if inputs.model_skills is not None:
+        hits = hits.unionByName(tagged(inputs.model_skills, "model", F.col("item").alias("skill")))
+    # what each skill is called in the end, and by which names it is looked for in a text
+    hits = hits.withColumn("phrase", F.lower(strip(F.col("skill"))))
+    normal = settled(dic.last_writer(dic.for_flat_map(entries)).withColumnRenamed("canonical", "_normal"))[0]
+    lists = settled(rules.groupBy(own).agg(F.array_sort(F.collect_set("phrase")).alias("_aliases")))[0]
+    named = hits.join(normal, "phrase", "left").join(lists, "skill", "left")
+    by_rule, engine = F.col("tag") == "rule", F.col("tag").isin("rule", "vector")
+    united = (
+        spread_by(named, "doc_id")
+        .groupBy("doc_id", F.when(engine, "engine").otherwise(F.col("tag")).alias("tag"), "skill")
+        .agg(F.bool_or(by_rule).alias("by_rule"), F.max("similarity").alias("similarity"), F.first("_aliases").alias("_aliases"), F.first(F.coalesce("_normal", "phrase")).alias("normal"))
+        .withColumn("_aliases", F.when(F.col("tag") == "engine", F.coalesce("_aliases", F.array("skill"))))
+        .groupBy("doc_id")
+        .agg(F.collect_list(F.struct("tag", "skill", "by_rule", "similarity", "_aliases", "normal")).alias("h"))
+    )
+    met = inputs.docs.select("doc_id", "text").join(united, "doc_id", "left")
+    of = lambda tag: F.filter("h", lambda x: x["tag"] == tag)
+    score = lambda x: F.when(x["by_rule"], 2.0 + F.greatest(F.coalesce(x["similarity"], F.lit(0.0)), F.lit(0.0))).otherwise(x["similarity"])
+    place = lambda x, level: F.struct((-score(x)).alias("score"), (-level).alias("level"), x["skill"].alias("skill"), x["normal"].alias("normal"))
+    ranked = F.array_sort("e") if settings.max_skills <= 0 else F.slice(F.array_sort("e"), 1, settings.max_skills)
+    met = results.with_levels(met.withColumn("e", of("engine")), "e", "text", place).withColumn("e", ranked)
+    empty = F.array().cast("array<string>")
+    names = lambda a, field="skill": F.coalesce(F.transform(a, lambda x: x[field]), empty)
+    kept = F.filter(F.concat(names(of("keyword"), "normal"), names("e", "normal"), names(of("model"), "normal")), lambda n: n.isNotNull() & (n != "") & ~n.isin(*cfg.GENERIC_WORDS))
+    level_of = lambda n, e: F.coalesce(F.get(F.filter(e, lambda x: x["skill"] == n), F.lit(0))["level"] * -1, F.lit(1))
+    out = met.select("doc_id", "e", F.array_sort(names(of("keyword"))).alias("keyword_skills"), F.array_sort(names("e")).alias("embedding_skills"), F.array_sort(names(of("model"))).alias("model_skills"), F.array_sort(F.array_distinct(kept)).alias("final_skills"))
+    return out.select("doc_id", "keyword_skills", "embedding_skills", "model_skills", "final_skills", F.transform("final_skills", lambda n: F.struct(n.alias("name"), level_of(n, F.col("e")).alias("level"))).alias("final_structured"))
 
 
 def compare(pairs: DataFrame, analysed: DataFrame) -> DataFrame:

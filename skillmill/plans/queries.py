@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.levels import first_mention, level_near, level_of, searchable
+from ..functions.levels import first_mention, level_of, searchable
 from ..operators import dictionary as dic
 from ..operators import matching, results, similarity
 from ..operators import vocabulary as voc
@@ -246,9 +246,11 @@ def level_from_signals(spark: SparkSession, d: str) -> DataFrame:
 def level_window(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
     hits = keyword_match(spark, d).withColumnRenamed("canonical", "skill")
-    lists = dic.for_keywords(_reference(spark, d)).groupBy(F.col("canonical").alias("skill")).agg(F.array_sort(F.collect_set("phrase")).alias("aliases"))
-    joined = spread_by(hits.join(settled(lists)[0], "skill"), "doc_id").join(docs.withColumn("hay", searchable("text")), "doc_id")
-    return joined.select("doc_id", "skill", first_mention("text", "aliases", F.col("hay")).alias("first_at"), level_near("text", "aliases", hay=F.col("hay")).alias("level"))
+    lists = dic.for_keywords(_reference(spark, d)).groupBy(F.col("canonical").alias("skill")).agg(F.array_sort(F.collect_set("phrase")).alias("_aliases"))
+    own = spread_by(hits.join(settled(lists)[0], "skill"), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("skill", "_aliases")).alias("h"))
+    found = tx.let(searchable("text"), lambda hay: F.transform("h", lambda h: F.struct(h["skill"].alias("skill"), h["_aliases"].alias("_aliases"), first_mention("text", h["_aliases"], hay).alias("first_at"))))
+    graded = results.with_levels(own.join(docs, "doc_id").withColumn("h", found), "h", "text", lambda h, level: F.struct(h["skill"].alias("skill"), h["first_at"].alias("first_at"), level.alias("level")))
+    return graded.select("doc_id", F.inline("h"))
 
 
 @query

@@ -162,7 +162,9 @@ def test_similarities(spark):
     assert got == [("i", "a", 1.0), ("i", "b", 1.0), ("j", "a", 0.6), ("j", "b", 0.6), ("j", "c", 0.8)]
     blocked = sorted((r[0], r[1], round(r[2], 3)) for r in similarity.similarities(items, skills, "id", "v", "name", "q", 0.6, most=2).collect())
     assert blocked == got
-    near = {r[0]: (r[1], round(r[2], 3)) for r in similarity.nearest(items, skills, "id", "v", "name", "q", 0.9).collect()}
+    for most in (None, 2):
+        near = {r[0]: (r[1], round(r[2], 3)) for r in similarity.nearest(items, skills, "id", "v", "name", "q", 0.9, most).collect()}
+        assert near == {"i": ("a", 1.0), "j": (None, 0.8)}
     assert near == {"i": ("a", 1.0), "j": (None, 0.8)}
     assert similarity.similarities(items, skills.where("false"), "id", "v", "name", "q").count() == 0
     best = similarity.best_similarity(spark.createDataFrame([("a", -0.5), ("b", 0.2), ("b", 0.7)], "name string, similarity double"), ["name"])
@@ -175,7 +177,7 @@ def test_skill_vectors_of_several_lengths(spark):
     """One over-long vector discards no other, in one block as in several."""
     items = spark.createDataFrame([("i", [1.0, 0.0]), ("j", [0.6, 0.8]), ("k", [1.0, 0.0, 0.0]), ("w", [1.0])], VEC)
     skills = spark.createDataFrame([("a", [1.0, 0.0]), ("c", [0.0, 1.0]), ("long", [1.0, 0.0, 0.0]), ("none", None)], "name string, q array<float>")
-    for most in (similarity.MOST_NUMBERS, 3):
+    for most in (similarity.MOST_NUMBERS, 3, 4):
         got = sorted((r[0], r[1], round(r[2], 3)) for r in similarity.similarities(items, skills, "id", "v", "name", "q", 0.6, most=most).collect())
         assert got == [("i", "a", 1.0), ("j", "a", 0.6), ("j", "c", 0.8), ("k", "long", 1.0)]
 
@@ -254,11 +256,11 @@ def test_validate(spark):
         return '{"skills":[' + s + "]}"
 
     rows = {
-        "ok": answer(GOOD), "fenced": "text ```json\n" + answer(GOOD) + "\n``` end", "comma": '{"skills":[' + GOOD + ",],}", "around": "Sure: " + answer(GOOD) + " bye", "cut": answer(GOOD)[:-3],
+        "ok": answer(GOOD), "fenced": "text ```json\n" + answer(GOOD) + "\n``` end", "comma": '{"skills":[' + GOOD + ",],}", "around": "Sure: " + answer(GOOD) + " bye", "cut": answer(GOOD)[:-3], "two": answer(GOOD) + " or {}", "junk": answer(GOOD)[:-1] + " junk}", "no object": '{"skills":[1]}', "null object": '{"skills":[null]}', "mixed": answer(GOOD + ",7"),
         "string": answer(GOOD.replace("0.5", '"0.5"')), "null name": answer(GOOD.replace('"SQL"', "null")), "high": answer(GOOD.replace("0.5", "1.5")), "no level": answer(GOOD.replace('"level":"Advanced",', "")),
         "no skills": "{}", "null skills": '{"skills":null}', "one bad": answer(GOOD + "," + GOOD.replace('"db"', '" "')), "bad level": answer(GOOD.replace("Advanced", "guru")), "empty": "", "null": None,
         "years": answer(GOOD.replace(":3,", ":null,")), "extra": answer(GOOD.replace('"category"', '"more":{"x":1},"category"')),
     }
     got = {r.doc_id: r for r in results.validate(spark.createDataFrame(list(rows.items()), "doc_id string, raw string")).collect()}
-    assert set(got) == {"ok", "fenced", "comma", "around", "string", "null name", "years", "extra"}
+    assert set(got) == {"ok", "fenced", "comma", "around", "string", "null name", "years", "extra", "two"}
     assert got["null name"].skill_name == "None" and got["string"].confidence == 0.5 and got["ok"].level == "advanced" and got["years"].years_experience is None
