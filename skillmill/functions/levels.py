@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _c, collapse, is_simple, let, quoted, strip
+from .text import _c, collapse, is_simple, let, quoted, skill_norm
 
 #: Characters on each side of the first mention that a level is read from.
 WINDOW = 220
 
 
 def _aliases(aliases: Column | str) -> Column:
-    return F.filter(F.transform(F.coalesce(_c(aliases), F.array().cast("array<string>")), lambda a: collapse(F.lower(strip(a)))), lambda a: a.isNotNull() & (a != ""))
+    return F.filter(F.transform(F.coalesce(_c(aliases), F.array().cast("array<string>")), skill_norm), lambda a: a.isNotNull() & (a != ""))
 
 
 def searchable(text: Column | str) -> Column:
     """The lower-cased, collapsed text in which mentions are looked for."""
-    return strip(collapse(F.lower(_c(text))))
+    return F.trim(collapse(F.lower(_c(text))))
 
 
 def first_mention(text: Column | str, aliases: Column | str, hay: Column | None = None) -> Column:

@@ -15,7 +15,7 @@ from html.parser import HTMLParser
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +36,14 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def exploded(df: DataFrame, keep: list[str], value: Column, name: str, pos: str | None = None) -> DataFrame:
+    """``keep`` and one row for each element of ``value`` that is not null. A plain explode would have the planner infer a filter
+    on the array's size, which computes a costly array twice."""
+    if pos:
+        return df.select(*keep, F.posexplode_outer(value).alias(pos, name)).where(F.col(name).isNotNull())
+    return df.select(*keep, F.explode_outer(value).alias(name)).where(F.col(name).isNotNull())
+
+
 def strip(c: Column | str) -> Column:
     """Without white space of any kind at both ends; ``trim`` takes only U+0020."""
     return F.regexp_replace(_c(c), rf"(?U)\A{WHITE}+|{WHITE}+\z", "")
@@ -53,7 +61,7 @@ def collapse(c: Column | str) -> Column:
 
 def skill_norm(c: Column | str) -> Column:
     """Stripped, lower case, white space collapsed."""
-    return collapse(F.lower(strip(c)))
+    return F.trim(collapse(F.lower(_c(c))))
 
 
 def match_norm(c: Column | str) -> Column:

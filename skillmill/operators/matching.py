@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import is_simple, let
+from ..functions.text import exploded, is_simple, let
 from ..session import collected, settled
 
 #: Characters of all phrases of an automaton: it takes some 50 bytes for each in every Python worker.
@@ -76,7 +76,7 @@ def _meet(docs: DataFrame, key: str, pattern: str, phrases: Phrases, keys: Colum
         return F.transform(p, one)
 
     pieces = let(F.regexp_extract_all("low", F.lit(pattern), F.lit(0)), around)
-    spots = docs.select(key, F.explode(pieces).alias("x")).select(key, F.col("x.w").alias("w"), F.col("x.before").alias("before"), F.col("x.behind").alias("behind"))
+    spots = exploded(docs, [key], pieces, "x").select(key, F.col("x.w").alias("w"), F.col("x.before").alias("before"), F.col("x.behind").alias("behind"))
     met = spots.select(key, "before", "behind", keys.alias("anchor")).where("anchor is not null") if not phrases.marks or "" in phrases.marks else spots.select(key, "before", "behind", F.explode(keys).alias("anchor"))
     met = met.join(phrases.rows, "anchor").where(F.col("before").endswith(F.col("pre")) & F.col("behind").startswith(F.col("post")))
     if bounded:
@@ -233,7 +233,7 @@ def phrase_hits(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", tex
     """``match_phrases`` without bringing together rows of the same key: no row's entries are repeated."""
     low = docs.select(key, F.lower(F.col(text)).alias("low")).where("low is not null")
     if find := _found(docs.sparkSession, dictionary, PhraseFinder):
-        return low.select(key, F.explode(find("low")).alias("canonical"))
+        return exploded(low, [key], find("low"), "canonical")
     return _named(_by_words(low, key, dictionary), key, dictionary)
 
 
@@ -251,7 +251,7 @@ def rule_hits(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", text:
     """``match_rules`` without bringing together rows of the same key."""
     low = docs.select(key, F.lower(F.col(text)).alias("low")).where("low is not null")
     if find := _found(docs.sparkSession, dictionary, RuleFinder):
-        return low.select(key, F.explode(find("low")).alias("canonical"))
+        return exploded(low, [key], find("low"), "canonical")
     # sentences end at these characters, so that no phrase may reach over them
     low = low.withColumn("low", F.regexp_replace("low", r"[.\r]", "\n"))
     simple = is_simple(F.col("phrase"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..functions.levels import level_near, searchable
-from ..functions.text import let, search_object, strip, without_fence, without_trailing_commas
+from ..functions.text import exploded, let, search_object, strip, without_fence, without_trailing_commas
 from ..session import settled, spread_by
 from .dictionary import last_writer
 
@@ -57,7 +57,7 @@ def add_levels(hits: DataFrame, docs: DataFrame, rows: DataFrame, key: str = "do
     grouped = spread_by(named, key).groupBy(key).agg(F.collect_list(F.struct(*own, F.coalesce("_aliases", F.array("skill")).alias("_aliases"))).alias("_hits"))
     met = grouped.join(docs.select(key, F.col(text).alias("_text")), key)
     graded = with_levels(met, "_hits", "_text", lambda h, level: F.struct(*[h[c].alias(c) for c in own], level.alias("level")))
-    return graded.select(key, F.inline("_hits"))
+    return exploded(graded, [key], F.col("_hits"), "_hits").select(key, "_hits.*")
 
 
 def with_levels(df: DataFrame, hits: str, text: str, use: Callable[[Column, Column], Column]) -> DataFrame:
@@ -93,7 +93,7 @@ def parse_flat(answers: DataFrame, key: str = "doc_id", raw: str = "raw") -> Dat
     dropped, the first spelling wins."""
     own = F.col(raw)
     listed = lambda v: F.when(F.try_variant_get(v, "$.skills", "array<variant>").isNotNull(), F.from_json(F.get_json_object(own, "$.skills"), "array<string>"))
-    return first_spelling(answers.select(key, F.posexplode(let(F.try_parse_json(own), listed)).alias("pos", "item")), key)
+    return first_spelling(exploded(answers, [key], let(F.try_parse_json(own), listed), "item", "pos"), key)
 
 
 ANSWER = "struct<skills: array<map<string,string>>>"
@@ -126,7 +126,7 @@ def validate(answers: DataFrame, key: str = "doc_id", raw: str = "raw") -> DataF
 
     fine = lambda skills: F.when(F.forall(skills, good), skills)
     skills = let(F.when(F.try_parse_json("o").isNotNull(), F.from_json("o", ANSWER)["skills"]), fine)
-    parsed = repaired_objects(answers, key, raw).select(key, F.explode(skills).alias("m"))
+    parsed = exploded(repaired_objects(answers, key, raw), [key], skills, "m")
     m = F.col("m")
     return parsed.select(
         key, text(m, "skill_name").alias("skill_name"), text(m, "category").alias("category"), F.lower(text(m, "level")).alias("level"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as cfg
-from ..functions.text import not_blank
+from ..functions.text import exploded, let, not_blank
 
 
 def terms_of(text: Column, stop_words: tuple[str, ...]) -> Column:
@@ -27,9 +27,8 @@ def count_terms(corpus: DataFrame, key: str = "doc_id", text: str = "text", min_
     partial before its shuffle, gives both counts without a distinct one. ``key`` is not needed for that.
     """
     texts = corpus.where(not_blank(text)).select(terms_of(F.col(text), stop_words).alias("t"))
-    flagged = texts.select(F.array_sort("t").alias("t")).select(
-        F.explode(F.element_at(F.transform(F.array("t"), lambda s: F.transform(s, lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(s, i - 1) == x), 0).otherwise(1).alias("first")))), 1)).alias("x")
-    )
+    firsts = lambda s: F.transform(s, lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get(s, i - 1) == x), 0).otherwise(1).alias("first")))
+    flagged = exploded(texts, [], let(F.array_sort("t"), firsts), "x")
     return flagged.groupBy(F.col("x.term").alias("term")).agg(F.count("*").alias("tf"), F.sum("x.first").cast("bigint").alias("df")).where(F.col("df") >= min_df)
 
 

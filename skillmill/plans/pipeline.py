@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import config as cfg
 from ..config import Settings
-from ..functions.text import sentences, strip
+from ..functions.text import exploded, sentences, strip
 from ..operators import dictionary as dic
 from ..operators import matching, results, similarity
 from ..operators import vocabulary as voc
@@ -36,7 +36,7 @@ def vector_hits(docs: DataFrame, entries: DataFrame, encoder: Callable[[], Calla
     Each distinct sentence is encoded once. Entries are those of the rules, by name.
     """
     # shuffled by sentence once, for the distinct ones and for the join
-    parts = spread_by(docs.select("doc_id", F.explode(F.array_distinct(sentences("text"))).alias("sentence")), "sentence")
+    parts = spread_by(exploded(docs, ["doc_id"], F.array_distinct(sentences("text")), "sentence"), "sentence")
     skills = similarity.encode(dic.for_rules(entries).select("canonical"), "canonical", encoder)
     hits = similarity.similarities(similarity.encode(parts, "sentence", encoder), skills, "sentence", "vector", "canonical", "vector", settings.similarity_threshold)
     return similarity.best_similarity(parts.join(hits, "sentence"), ["doc_id", "canonical"])

@@ -100,7 +100,7 @@ def resume_table_corpus(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def sentence_split(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.posexplode(tx.sentences("text")).alias("pos", "sentence"))
+    return tx.exploded(_docs(spark, d), ["doc_id"], tx.sentences("text"), "sentence", "pos")
 
 
 @query
@@ -250,7 +250,7 @@ def level_window(spark: SparkSession, d: str) -> DataFrame:
     own = spread_by(hits.join(settled(lists)[0], "skill"), "doc_id").groupBy("doc_id").agg(F.collect_list(F.struct("skill", "_aliases")).alias("h"))
     found = tx.let(searchable("text"), lambda hay: F.transform("h", lambda h: F.struct(h["skill"].alias("skill"), h["_aliases"].alias("_aliases"), first_mention("text", h["_aliases"], hay).alias("first_at"))))
     graded = results.with_levels(own.join(docs, "doc_id").withColumn("h", found), "h", "text", lambda h, level: F.struct(h["skill"].alias("skill"), h["first_at"].alias("first_at"), level.alias("level")))
-    return graded.select("doc_id", F.inline("h"))
+    return tx.exploded(graded, ["doc_id"], F.col("h"), "h").select("doc_id", "h.*")
 
 
 @query
