@@ -39,7 +39,7 @@ def term_frequencies(records: DataFrame, terms: str = "terms", fewest_rows: int
     Ties need no order, as the result is a set. An empty table gives no rows. Other columns are not read.
     """
     key = [by] if by else []
-    counts = records.select(*key, F.explode(per_record_counts(F.col(terms))).alias("c"))
+    counts = records.select(*key, F.explode_outer(per_record_counts(F.col(terms))).alias("c")).where("c is not null")  # a plain explode computes the array twice
     sums = counts.groupBy(*key, F.col("c.term").alias("term")).agg(F.sum("c.n").alias("n_occurrences"), F.count("*").alias("n_rows"))
     if by:
         total = records.groupBy(by).agg(F.count("*").alias("n_all"))  # one row for each value of ``by``
