@@ -97,24 +97,33 @@ def test_best_fit():
     for _ in range(60):
         cap = rng.choice([10, 64, 512])
         items = [(rng.randint(1, cap), rng.randint(0, 5), rng.randint(0, 8)) for _ in range(rng.randint(0, 120))]
-        for strict in (False, True):
-            bins = packing.best_fit(items, cap, strict)
-            load = {}
-            for (s, _, c), b in zip(items, bins):
-                load.setdefault(b, []).append((s, c))
-            assert all(sum(s for s, _ in v) <= cap for v in load.values())
-            if strict:
-                assert all(len({c for _, c in v}) == len(v) for v in load.values())
-            else:
-                assert len(load) <= plain_best_fit([s for s, _, _ in items], cap) * 1.12 + 1
+        bins = packing.best_fit(items, cap)
+        groups, load = packing.apart(items, cap), {}
+        for (size, _, _), g, b in zip(items, groups, bins):
+            load.setdefault(b, []).append((size, g))
+        assert all(sum(n for n, _ in v) <= cap for v in load.values())
+        assert all(len({g for _, g in v}) == len(v) for v in load.values())
+        alone = packing.best_fit([(n, 0, i) for i, (n, _, _) in enumerate(items)], cap)
+        assert len(set(alone)) == plain_best_fit([n for n, _, _ in items], cap)
     assert packing.best_fit([], 5) == []
 
 
-def test_copies_are_kept_apart_where_it_costs_nothing():
+def test_copies_are_kept_apart():
     bins = packing.best_fit([(6, 0, 9), (6, 1, 8), (2, 2, 1), (2, 2, 1)], 10)
     assert len(set(bins)) == 2 and bins[2] != bins[3]  # the tightest bin holds the copy, so the search goes on
-    assert len(set(packing.best_fit([(2, 0, 1)] * 5, 10))) == 1  # only copies: room counts for more
-    assert len(set(packing.best_fit([(2, 0, 1)] * 5, 10, strict=True))) == 5
+    assert len(set(packing.best_fit([(9, 0, 9), (1, 2, 1), (5, 3, 2), (2, 2, 1)], 10))) == 2
+    assert packing.best_fit([(8, 0, 1), (1, 0, 2), (1, 0, 3), (7, 0, 2), (3, 0, 3)], 10) == [0, 0, 0, 1, 1]
+    assert packing.best_fit([(6, 0, 1), (5, 0, 2), (4, 0, 1), (3, 0, 3)], 10) == [0, 1, 1, 0]  # the tightest bin holds a copy
+
+
+def test_more_copies_than_bins():
+    """Copies that outnumber the bins that are needed are dealt out evenly."""
+    items = [(2, 0, 1)] * 20 + [(2, 0, 10 + i) for i in range(20)]
+    bins = packing.best_fit(items, 20)
+    assert len(set(bins)) <= 5
+    assert max(bins[:20].count(b) for b in set(bins)) <= 5
+    third = [(3, 0, 0)] * 400 + [(random.Random(i).randint(1, 60), 0, i + 1) for i in range(800)]
+    assert len(set(packing.best_fit(third, 64))) <= -(-sum(n for n, _, _ in third) // 64) * 1.02 + 1
 
 
 def test_pack(spark, own):
@@ -161,3 +170,13 @@ def test_an_equally_tight_bin_without_the_source_is_found():
     bins = packing.best_fit(items, 10)
     assert sorted(items[bins.index(b)][1] for b in bins[6:]) == [0, 0, 1, 1] and items[bins.index(bins[8])][1] == 1
     assert packing.best_fit([(6, 0, 5), (6, 1, 2), (6, 2, 3), (4, 2, 5)], 10) == [0, 1, 2, 1]
+
+
+def test_a_passed_cluster(spark):
+    rows = [(i, f"text {i} " * 3, "s", None if i % 2 else 7) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, grp bigint")
+    windows = spark.createDataFrame([(1, "byte_bpe_50k", 64)], "window_id bigint, tokenizer string, capacity bigint")
+    got = packing.pack(df, windows, cluster="grp").collect()
+    n_windows = len({r.window_no for r in got})
+    held = [sum(1 for r in got if r.window_no == w and r.doc_id % 2 == 0) for w in {r.window_no for r in got}]
+    assert max(held) <= -(-20 // min(n_windows, -(-sum(r.n_tokens for r in got) // 64)))
