@@ -20,11 +20,17 @@ import base64
 import codecs
 import heapq
 import importlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import regex
 
+#: Characters that the splitter sees at once, and how far it looks: at a contraction's three, and one behind a run of spaces.
+CHARS, LOOKS = 1 << 16, 4
+#: Bytes of a word from which on it is streamed.
+LONG = 200
+
 #: Fixed value: the published split pattern of the byte_bpe_* vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -159,20 +165,54 @@ class Transducer:
 
     def word(self, word: str) -> tuple[int, ...]:
         b = word.encode("utf-8", "replace")
-        if len(b) <= 200:
+        if len(b) <= LONG:
             return tuple(self.ranks[t] for t in self.window(b))
         return tuple(self.feed([b]))
 
-    def encode(self, text: str | None) -> list[int]:
-        """Ids without special tokens; null and empty text give []."""
-        if not text:
-            return []
-        return list(chain.from_iterable(map(self._known.__getitem__, self.split.findall(text))))
+    def words(self, text: str) -> Iterator[list[str] | tuple[int, int]]:
+        """The words of a text in order: lists of short ones, and (start, end) of a word that no window holds.
+
+        The splitter sees a window of CHARS characters at a time. It looks at most LOOKS characters past a word's beginning or end,
+        so words that end at least so far before the window's end are as in the whole text; the rest is seen again.
+        """
+        at, n, split = 0, len(text), self.split
+        if n <= CHARS:
+            yield split.findall(text)
+            return
+        while at < n:
+            part = text[at : at + CHARS]
+            found = split.findall(part)
+            if at + CHARS < n:
+                left = len(part)
+                while found and len(part) - left < LOOKS:
+                    left -= len(found.pop())
+                if not found:  # one word fills the window
+                    end = split.match(text, at).end()
+                    yield at, end
+                    at = end
+                    continue
+                at += left
+            else:
+                at = n
+            yield found
+
+    def encode_stream(self, text: str | None) -> Iterator[tuple[int, ...]]:
+        """Ids in groups, as they become stable. Memory beside the text is bounded whatever the length of the text and of its words."""
+        known = self._known
+        for found in self.words(text) if text else ():
+            if isinstance(found, list):
+                yield from map(known.__getitem__, found)
+            else:
+                lo, hi = found
+                chunks = (text[i : min(i + CHARS, hi)].encode("utf-8", "replace") for i in range(lo, hi, CHARS))
+                yield from ((i,) for i in self.feed(chunks))
+
+    def encode(self, text: str | None) -> array:
+        """Ids without special tokens, four bytes each; null and empty text give none."""
+        return array("i", chain.from_iterable(self.encode_stream(text)))
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        return sum(map(len, map(self._known.__getitem__, self.split.findall(text))))
+        return sum(map(len, self.encode_stream(text)))
 
     # decode
 

@@ -25,7 +25,8 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str = "byte_bpe_50k", folder: str | None = None) -> DataFrame:
     """``key`` and ``ids`` (array<int>) of every row, without special tokens.
 
-    Method: the bounded-lookahead transducer of ``bpe``. One narrow map over the scan; nothing is shuffled.
+    Method: the bounded-lookahead transducer of ``bpe``, splitter included: beside a text and its ids memory is constant. One narrow
+    map over the scan; nothing is shuffled.
     Empty and null texts give an empty list, never null. Repeated rows and repeated or null keys give a
     row each. Strings of special tokens inside a text are ordinary text. Other columns of ``df`` are not
     read. ``tokenizer`` is a byte-level vocabulary with a rank file; ``folder`` is where it lies.
@@ -35,7 +36,7 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", tokeni
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = transducer(path).encode
         for b in _pieces(batches):
-            ids = [np.array(encode(t), dtype=np.int32) for t in b.column(1).to_pylist()]
+            ids = [np.frombuffer(encode(t), np.int32) for t in b.column(1).to_pylist()]
             ends = np.zeros(len(ids) + 1, dtype=np.int32)
             np.cumsum([len(x) for x in ids], out=ends[1:])
             flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)

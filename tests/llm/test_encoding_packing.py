@@ -31,7 +31,7 @@ def texts():
 def test_ids_equal_another_implementation(own, other):
     for t in texts():
         ids = own.encode(t)
-        assert ids == other.encode_ordinary(t)
+        assert list(ids) == other.encode_ordinary(t)
         assert own.count(t) == len(ids)
         assert own.decode(ids) == t
 
@@ -55,6 +55,36 @@ def test_streaming_in_any_chunks(own, other):
     assert len(seen) < 12
 
 
+def test_the_splitter_streams_too(own, other, monkeypatch):
+    """Small windows give the ids of the whole text, wherever they cut it."""
+    pieces = ["it's", " we'll", "'", "'l", "'ve", "   ", "\n\n", "\t ", " word", "longerword" * 9, "été", "12 34", "...", "  x", "¡!", "日本", " " * 40, "'r", "e"]
+    rng = random.Random(9)
+    for chars in (8, 64):
+        monkeypatch.setattr(bpe, "CHARS", chars)
+        for _ in range(60):
+            t = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 60)))
+            assert list(own.encode(t)) == other.encode_ordinary(t)
+        for t in texts()[:20]:
+            assert list(own.encode(t)) == other.encode_ordinary(t)
+
+
+@pytest.mark.parametrize("unit", ["abcdefghij", "some words, and more ", " "])
+def test_memory_does_not_grow_with_the_text(own, unit, monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(bpe, "CHARS", 2048)
+    own.count(unit * 2_000)
+    peaks = []
+    for size in (1, 4):
+        text = unit * (size * 40_000 // len(unit))
+        tracemalloc.start()
+        n = own.count(text)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert n > 0
+    assert peaks[1] < 1.3 * peaks[0] + 100_000
+
+
 def test_lookahead_is_bounded(own):
     rules = bpe.merge_list(own.ranks)
     assert len(rules) == 50_000
@@ -75,7 +105,7 @@ def test_corpus(spark, own):
     got = encoding.encode_corpus(df)
     assert got.schema.simpleString() == "struct<doc_id:bigint,ids:array<int>>"
     by = sorted((str(r.doc_id), r.ids) for r in got.collect())
-    assert by == sorted((str(k), own.encode(t)) for k, t, _ in rows)
+    assert by == sorted((str(k), list(own.encode(t))) for k, t, _ in rows)
     back = encoding.decode_corpus(got)
     assert sorted((str(r.doc_id), r.text) for r in back.collect()) == sorted((str(k), t or "") for k, t, _ in rows)
     assert encoding.encode_corpus(df.where("false")).count() == 0
