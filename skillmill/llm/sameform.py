@@ -23,7 +23,8 @@ LOOK_ALIKES = {
 }
 _TO_LATIN = str.maketrans(LOOK_ALIKES)
 
-IGNORABLE = r"[\p{Default_Ignorable_Code_Point}\p{Cf}]"
+#: Format characters that show, such as the Arabic number sign, are not ignorable.
+IGNORABLE = r"\p{Default_Ignorable_Code_Point}"
 _DROP = regex.compile(rf"{IGNORABLE}+|[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]+")
 _LINE = regex.compile("\r\n?|[\x0b\x0c\x85  ]")
 _SPACE = regex.compile(r"[\p{Zs}]")
@@ -47,6 +48,10 @@ def _styled() -> str:
 _STYLED: set[str] = set()
 _KINDS: dict[str, int] = {}
 _DECEIVES, _OTHER, _DROPPED, _SPACES, _BREAKS = 1, 2, 4, 8, 16
+#: Marks of no one script, which stand on letters of any: what is left of them in a composed form belongs to no composed letter.
+_LOOSE = regex.compile(r"[\p{M}&&[\p{Inherited}\p{Common}]]", regex.V1)
+#: Sequences of other scripts that composition may rewrite without a change of looks.
+_NATIVE = regex.compile(r"\P{M}?[\p{M}--[\p{Inherited}\p{Common}]]+|[\u1100-\u11ff]+", regex.V1)
 
 
 def _kind(c: str) -> int:
@@ -60,7 +65,7 @@ def _kind(c: str) -> int:
         k |= _SPACES | _DECEIVES
     if _LINE.match(c):
         k |= _BREAKS
-    if c in _STYLED or regex.match(r"[\p{M}&&[\p{Inherited}\p{Common}]]", c, regex.V1):
+    if c in _STYLED or _LOOSE.match(c):
         k |= _DECEIVES
     _KINDS[c] = k
     return k
@@ -74,29 +79,49 @@ def _needs(text: str) -> int:
     return out
 
 
-def odd(text: str) -> bool:
-    """Whether a text holds a character that is not what it looks like; see p4_found in TESTDATA.md."""
-    k = _needs(text)
-    return bool(k & _DECEIVES or (k & _OTHER and _MIXED.search(text)))
+class _Shown(dict):
+    """What a character becomes that compatibility changes but that shows what it is: superscripts, fractions, signs, variants of a letter."""
 
+    def __missing__(self, c: int) -> str:
+        _kind(s := chr(c))
+        self[c] = s if s in _STYLED or _LOOSE.match(s) or _DROP.match(s) or _SPACE.match(s) else unicodedata.normalize("NFKC", s)
+        return self[c]
 
-def same_form(text: str) -> str:
-    """The consistent form: NFKC, without default-ignorable characters, spaces as U+0020 and line ends as LF,
-    look-alike letters in words that also have Latin letters as Latin ones, full case folding, NFKC again."""
+
+_SHOWN = _Shown()
+
+
+def _forms(text: str) -> tuple[str, str, bool]:
+    """The consistent form before case is folded, the consistent form, and whether the text deceives: whether the form differs from the
+    text by more than what shows in it, or still holds a mark that composes with nothing or a word of two scripts."""
     k = _needs(text)
-    t = _LINE.sub("\n", text) if k & _BREAKS else text
-    if k & _DROPPED:
-        t = _DROP.sub("", t)
+    lined = _LINE.sub("\n", text) if k & _BREAKS else text
+    if lined.isascii() and not k & _DROPPED:
+        return lined, lined.casefold(), False
+    t = _DROP.sub("", lined) if k & _DROPPED else lined
     if k & _SPACES:
         t = _SPACE.sub(" ", t)
-    if t.isascii():
-        return t.casefold()
     t = unicodedata.normalize("NFKC", t)
     if k & _DECEIVES:  # what styled characters stand for
         t = _SPACE.sub(" ", _DROP.sub("", t))
-    if k & _OTHER:
+    mixed = False
+    if k & _OTHER and (m := _MIXED.search(t)):
         t = _MIXED.sub(lambda m: m.group().translate(_TO_LATIN), t)
-    return unicodedata.normalize("NFKC", t.casefold())
+        mixed = bool(_MIXED.search(t, m.start()))
+    shown = _NATIVE.sub(lambda m: unicodedata.normalize("NFC", m.group()), lined.translate(_SHOWN))
+    deceives = t != shown or mixed or (bool(k & _DECEIVES) and bool(_LOOSE.search(t)))
+    return t, unicodedata.normalize("NFKC", t.casefold()), deceives
+
+
+def odd(text: str) -> bool:
+    """Whether a text holds a character that is not what it looks like, seen from what its consistent form changes; see p4_found in TESTDATA.md."""
+    return _forms(text)[2]
+
+
+def same_form(text: str) -> str:
+    """The consistent form: NFKC, without default-ignorable characters, spaces as U+0020 and line ends as LF,
+    look-alike letters in words that also have Latin letters as Latin ones, full case folding, NFKC again."""
+    return _forms(text)[1]
 
 
 def normalise(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -111,7 +136,7 @@ def normalise(df: DataFrame, key: str, text: str) -> DataFrame:
     def work(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             codes, values = pd.factorize(s)  # nulls are -1
-            done = [(same_form(v), odd(v)) for v in values] + [(None, False)]
+            done = [_forms(v)[1:] for v in values] + [(None, False)]
             yield pd.DataFrame([done[c] for c in codes], columns=["form", "is_odd"])
 
     rows = spread(df.select(F.col(key).alias("key"), F.col(text).alias("text")))

@@ -56,6 +56,12 @@ def test_what_only_resembles_is_no_case(text):
 def test_other_scripts_and_accents_stay():
     assert sameform.same_form("Русский ελληνικά É") == "русский ελληνικά é"
     assert sameform.same_form("cοffee Ρaris") == "coffee paris"
+    assert sameform.same_form("\u0600\u0661 x") == "\u0600\u0661 x" and not sameform.odd("\u0600\u0661 x")  # a format character that shows
+
+
+@pytest.mark.parametrize("text", ["x\u0302 loose", "xж", "wordжx and more", "①", "a\u0301", "ｗ"])
+def test_what_the_form_cannot_mend_is_a_case_too(text):
+    assert sameform.odd(text)
 
 
 def test_normal_form_is_stable():
