@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -34,20 +35,54 @@ DIGIT_WORDS = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"\b(?:{_WORD})(?: (?:{_WORD})){{5,}}\b", re.I)
-_AT = r"(?:@|[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|[ \t]+at[ \t]+)"
-_DOT = r"(?:\.|[ \t]*[\[({<][ \t]*(?:dot|\.)[ \t]*[\])}>][ \t]*|[ \t]+dot[ \t]+)"
+# Words that repeat the digit behind them, and what "at" and "dot" are called.
+REPEATS = {"double": 2, "triple": 3, "doppel": 2, "doble": 2}
+AT_WORDS, DOT_WORDS = ("at", "arroba", "arobase", "klammeraffe", "@"), ("dot", "punkt", "punto", "point", ".")
+_DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+_TIMES = "|".join(REPEATS)
+_SAID = rf"(?:(?:{_TIMES})[ -])?(?:{_DIGIT})"
+_BREAK = r"(?:, ?|[ .-])"
+#: Digits said one by one, numerals among them: a space, hyphen, full stop or comma apart.
+_SPELLED = re.compile(rf"(?<![\w.-])(?:\+?\d{{1,4}}{_BREAK})*{_SAID}(?:{_BREAK}(?:{_SAID}|\d{{1,4}}))+(?![\w-])", re.I)
+_SAYING = re.compile(rf"(?:(?P<times>{_TIMES})[ -])?(?P<word>{_DIGIT})|(?P<plain>[+\d])", re.I)
+#: A number is said if there are so many words of digits, and so many digits in all.
+SAID_WORDS, SAID_DIGITS = 3, 6
+_OPEN, _SHUT = r"[ \t]*[\[({<][ \t]*", r"[ \t]*[\])}>][ \t]*"
+_ATS, _DOTS = "|".join(map(re.escape, AT_WORDS)), "|".join(map(re.escape, DOT_WORDS))
+_BARE_ATS, _BARE_DOTS = "|".join(w for w in AT_WORDS if w.isalpha()), "|".join(w for w in DOT_WORDS if w.isalpha())
+_DOT = rf"(?:\.|{_OPEN}(?:{_DOTS}){_SHUT}|[ \t]+(?:{_BARE_DOTS})[ \t]+)"
 #: A disguised "at": a bare one needs a disguised dot behind it. The address around it is then looked for on both sides.
-_HIDDEN_AT = re.compile(r"[ \t]*[\[({<][ \t]*(?:at|@)[ \t]*[\])}>][ \t]*|[ \t]+at[ \t]+(?=[\w-]+[ \t]*[\[({<]?[ \t]*dot\b)|@(?=[\w-]+[ \t]*[\[({<][ \t]*dot\b)", re.I)
-#: In lower case; what ``_HIDDEN_AT`` finds has one of these: this, or a "dot".
-_OPENED_AT = re.compile(r"[\[({<][ \t]*(?:at|@)")
-_HIDDEN_LEFT = re.compile(r"[\w.+%-]+\Z")
+_HIDDEN_AT = re.compile(
+    rf"{_OPEN}(?:{_ATS}){_SHUT}|[ \t]+(?:{_BARE_ATS})[ \t]+(?=[\w-]+[ \t]*[\[({{<]?[ \t]*(?:{_BARE_DOTS})\b)|[ \t]+(?:arroba|arobase|klammeraffe)[ \t]+(?=[\w-]+\.\w)|@(?=[\w-]+[ \t]*[\[({{<]?[ \t]*(?:{_BARE_DOTS})\b)", re.I
+)
+#: In lower case; what ``_HIDDEN_AT`` finds has one of these: this, or one of the words.
+_OPENED_AT = re.compile(rf"[\[({{<][ \t]*(?:{_ATS})")
+_HINTED = tuple(w for w in (*AT_WORDS, *DOT_WORDS) if w.isalpha() and w != "at")
+_HIDDEN_LEFT = re.compile(rf"[\w.+%-]+(?:(?:{_OPEN}(?:{_DOTS}){_SHUT}|[ \t]+(?:{_BARE_DOTS})[ \t]+)[\w.+%-]+)*\Z", re.I)
 _HIDDEN_RIGHT = re.compile(rf"[\w-]+(?:{_DOT}[\w-]+)+", re.I)
-_SIGN = re.compile(rf"(?P<at>{_AT})|(?P<dot>[ \t]*[\[({{<][ \t]*(?:dot|\.)[ \t]*[\])}}>][ \t]*|[ \t]+dot[ \t]+)", re.I)
+_SIGN = re.compile(rf"(?P<at>@|{_OPEN}(?:{_ATS}){_SHUT}|[ \t]+(?:{_BARE_ATS})[ \t]+)|(?P<dot>{_OPEN}(?:{_DOTS}){_SHUT}|[ \t]+(?:{_BARE_DOTS})[ \t]+)", re.I)
 _CLUSTER = regex.compile(r"[\x00-\x7f]+(?!\p{M})|\P{M}\p{M}*|\p{M}")
 
 
+_DIGIT_WORD = re.compile(r"[^\W\d_]+")
+
+
+def _before(pattern: re.Pattern, t: str, at: int, least: int = 0, room: int = 64) -> int | None:
+    """Where the match of ``pattern`` that ends at ``at`` begins, not before ``least``. As much of the text is looked at as the match needs."""
+    while True:
+        lo = max(least, at - room)
+        m = pattern.search(t[lo:at])
+        if m is None and lo == least:
+            return None
+        if m is not None and (m.start() > room // 2 or lo == least):
+            return lo + m.start()
+        if m is None and not t[lo:at].strip():
+            return None
+        if m is None and room >= 4096:
+            return None
+        room *= 4
+
+
 class Normal:
     """A normal form and, unless it is the source itself, the source span of each of its characters."""
 
@@ -61,11 +96,11 @@ class Normal:
         if k & _DECEIVES or (k & _OTHER and _MIXED.search(source)):
             self._characters()
         self.low = low = self.text.lower()
-        if "dot" in low or _OPENED_AT.search(low):
+        if any(w in low for w in _HINTED) or _OPENED_AT.search(low):
             self._rewrite(self._disguised(self.text), self._signs)
         # most texts hold no spelled number; the words are looked for before the costlier pattern
-        if sum(w in DIGIT_WORDS for w in low.split()) >= 5 and _SPELLED.search(self.text):
-            self._rewrite((m.span() for m in _SPELLED.finditer(self.text)), lambda s: [(DIGIT_WORDS[w.group().lower()], w.start(), w.end()) for w in re.finditer(_WORD, s, re.I)])
+        if sum(w in DIGIT_WORDS for w in _DIGIT_WORD.findall(low)) >= SAID_WORDS:
+            self._rewrite(self._said(self.text), self._digits)
         if len(self.text) != len(low):
             self.low = self.text.lower()
             if len(self.low) != len(self.text):  # a letter whose lower case is longer
@@ -91,6 +126,18 @@ class Normal:
         self.text = _MIXED.sub(lambda m: m.group().translate(_TO_LATIN), text)  # one character for one
         self.starts, self.ends = starts, ends
 
+    @staticmethod
+    def _said(t: str) -> Iterator[tuple[int, int]]:
+        for m in _SPELLED.finditer(t):
+            said = list(_SAYING.finditer(m.group()))
+            words = sum(x.group("word") is not None for x in said)
+            if words >= SAID_WORDS and sum(1 if x.group("plain") else REPEATS.get((x.group("times") or "").lower(), 1) for x in said) >= SAID_DIGITS:
+                yield m.span()
+
+    @staticmethod
+    def _digits(s: str) -> list[tuple[str, int, int]]:
+        return [(x.group("plain") or DIGIT_WORDS[x.group("word").lower()], x.start(), x.end()) for x in _SAYING.finditer(s) for _ in range(REPEATS.get((x.group("times") or "").lower(), 1))]
+
     @staticmethod
     def _signs(s: str) -> list[tuple[str, int, int]]:
         parts, at = [], 0
@@ -106,9 +153,9 @@ class Normal:
         for m in _HIDDEN_AT.finditer(t):
             if m.start() < end or not (right := _HIDDEN_RIGHT.match(t, m.end())):
                 continue
-            if left := _HIDDEN_LEFT.search(t[max(end, m.start() - _LONGEST_LOCAL) : m.start()]):
+            if (left := _before(_HIDDEN_LEFT, t, m.start(), end)) is not None:
                 end = right.end()
-                yield m.start() - len(left.group()), end
+                yield left, end
 
     def _rewrite(self, spans: Iterator[tuple[int, int]], parts: Callable[[str], list[tuple[str, int, int]]]) -> None:
         """Replace spans by parts: (character, start, end within the span)."""
@@ -136,8 +183,6 @@ class Normal:
 
 _LOCAL = re.compile(r"[^\W_](?:[\w.+%'-]*[\w+%-])?\Z")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,}")
-#: Characters before the sign that are looked at; a local part has at most 64.
-_LONGEST_LOCAL = 128
 
 #: What stands before numbers that identify things, not people.
 _THING = re.compile(r"(?:order|invoice|ticket|certificate|course|release|score|reference|ref|rank|record|records|item|batch|serial|version|build)\b[^\w\n]{0,3}(?:(?:no|nr|num|number|ref|id)\b\.?)?[ :#,.-]{0,3}$", re.I)
@@ -156,8 +201,25 @@ _BARE = re.compile(
     r"\d\d \d{3} \d{3} \d{3}|\d\d-\d{7}|\d\d-\d{4}-\d{4}|[A-Z]{4}\d{6}[A-Z]{2}\d|[A-Z]{1,2}\d{7})(?![\w-])",
     re.I,
 )
-#: Characters before a number that are looked at for its label.
+#: No label has more characters than this; blanks behind it come on top.
 _LABEL_ROOM = 48
+
+
+def _label_from(t: str, lo: int) -> int:
+    while lo and t[lo - 1] in " \t":
+        lo -= 1
+    return max(0, lo - _LABEL_ROOM)
+
+
+_ACCOUNT = re.compile(r"(?<![\w-])[A-Z]{2}\d\d(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+
+
+def _is_account(s: str) -> bool:
+    """Whether the check digits of an account number hold: the number with its head moved to its end, letters as numbers, leaves 1 by 97."""
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+
 _PHONE = re.compile(
     r"(?<![\w@.+/-])(?:"
     r"\+\d{1,3}[ .-]?(?:\(0\)[ .-]?)?(?:\(\d{1,4}\)|\d{1,5})(?:[ ./-]?\d{2,8}){1,5}"
@@ -281,24 +343,31 @@ class Detector:
         n = Normal(source)
         t, low = n.text, n.low
         found: list[tuple[int, int, str]] = []
-        taken: list[tuple[int, int]] = []
+        begins: list[int] = []
+        ends: list[int] = []
 
-        def take(lo: int, hi: int, kind: str) -> None:
-            if hi > lo and all(hi <= a or lo >= b for a, b in taken):
-                taken.append((lo, hi))
-                found.append((*n.span(lo, hi), kind))
+        def take(lo: int, hi: int, kind: str | None) -> None:
+            at = bisect(begins, lo)
+            if hi > lo and (not at or ends[at - 1] <= lo) and (at == len(begins) or begins[at] >= hi):
+                begins.insert(at, lo)
+                ends.insert(at, hi)
+                if kind:
+                    found.append((*n.span(lo, hi), kind))
 
         i = t.find("@")
         while i >= 0:
-            if (host := _DOMAIN.match(t, i + 1)) and (local := _LOCAL.search(t[max(0, i - _LONGEST_LOCAL) : i])):
-                take(i - len(local.group()), host.end(), "EMAIL")
+            if (host := _DOMAIN.match(t, i + 1)) and (local := _before(_LOCAL, t, i)) is not None:
+                take(local, host.end(), "EMAIL")
             i = t.find("@", i + 1)
+        for m in _ACCOUNT.finditer(t):
+            if _is_account(m.group()):
+                take(*m.span(), None)  # a bank account is no number of the kinds asked for, nor does it hold one
         for m in _NUMBER.finditer(t):
             letters = _LETTERS.search(t[max(0, m.start() - 6) : m.start()])
             if not letters:
                 continue
             for lo in dict.fromkeys((m.start() - len(letters.group()), m.start() if letters.group()[-1:] == " " else m.start() - len(letters.group()))):
-                if (v := _LABELLED.match(t, lo)) and sum(c.isdigit() for c in v.group()) >= 5 and _LABEL.search(t[max(0, lo - _LABEL_ROOM) : lo]):
+                if (v := _LABELLED.match(t, lo)) and sum(c.isdigit() for c in v.group()) >= 5 and _LABEL.search(t[_label_from(t, lo) : lo]):
                     take(*v.span(), "ID")
                 elif (v := _BARE.match(t, lo)) and not _THING.search(t, max(0, lo - 30), lo):
                     take(*v.span(), "ID")
@@ -310,8 +379,8 @@ class Detector:
             dot = s.endswith(".") and not re.search(r"\b(?:St|Rd|Ave|Ln|Ct|Blvd|Dr|Pl|Sq)\.$", s, re.I)
             take(m.start(), m.end() - dot, "STREET")
         for m in _STREET_ENDING.finditer(t):
-            if b := _STREET_BEGIN.search(t[max(0, m.start() - 60) : m.start()]):
-                take(m.start() - len(b.group()), m.end(), "STREET")
+            if (begin := _before(_STREET_BEGIN, t, m.start())) is not None:
+                take(begin, m.end(), "STREET")
         if any(w in low for w in _TYPES):
             for m in _STREET_TYPE_FIRST.finditer(t):
                 take(*m.span(), "STREET")
@@ -330,7 +399,10 @@ class Detector:
             shaped = len(words) >= 2 and all(w[:1].isupper() for w in parts)
             titled = bool(m.group("label"))
             if parts and plain and (titled or (len(words) >= 2 and alike and (shaped or alike >= 2 or role)) or (len(words) >= 2 and role and shaped) or (len(words) in (2, 3) and shaped and len(parts) >= 2)):
-                yield m.span("name")
+                lo, hi = m.span("name")
+                # behind a capital, a plain word in lower case is no part of the name
+                low_ = next((x for x in re.finditer(_ANY, m.group("name")) if x.start() and x.group().islower() and not kind(x.group()) and not re.fullmatch(_PARTICLE, x.group())), None)
+                yield lo, (lo + len(m.group("name")[: low_.start()].rstrip()) if low_ and parts[0][:1].isupper() and titled else hi)
         for m in self._cued(t, low):
             lo, hi = self._trim(t, *m.span("name"), bool(m.group("title")))
             while hi > lo:
@@ -354,7 +426,7 @@ class Detector:
             if k == "family":
                 if _FIRM.match(t, hi):
                     continue
-                if (b := _BEFORE.search(t, max(0, lo - 60), lo)) and (start := self._given(t, b.start(), lo)) < lo:
+                if (b := _before(_BEFORE, t, lo)) is not None and (start := self._given(t, b, lo)) < lo:
                     yield start, hi
                 elif i + 1 < len(words) and words[i + 1][2] == "given" and t[hi : words[i + 1][0]] in (", ", " ") and (t[hi] == "," or t[lo:hi].isupper()):
                     yield lo, words[i + 1][1]

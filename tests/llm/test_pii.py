@@ -81,6 +81,36 @@ def test_frames(spark):
     assert pii.find_personal(df, hints.where("false"), ["row_id"], "t").where("kind = 'EMAIL'").count() == 2
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("ring zero-two-oh-seven-nine-four-six-zero-nine-five-eight", [("PHONE", "zero-two-oh-seven-nine-four-six-zero-nine-five-eight")]),
+        ("ring oh seven seven double zero nine four six zero nine five now", [("PHONE", "oh seven seven double zero nine four six zero nine five")]),
+        ("ring 020 seven nine four six 0958.", [("PHONE", "020 seven nine four six 0958")]),
+        ("to jane DOT doe AT example DOT com.", [("EMAIL", "jane DOT doe AT example DOT com")]),
+        ("jane.doe arroba ejemplo punto es", [("EMAIL", "jane.doe arroba ejemplo punto es")]),
+        ("jana (punkt) doe [at] beispiel punkt de", [("EMAIL", "jana (punkt) doe [at] beispiel punkt de")]),
+        ("jeanne arobase exemple point fr", [("EMAIL", "jeanne arobase exemple point fr")]),
+        ("a" * 700 + ".b@firm.com", [("EMAIL", "a" * 700 + ".b@firm.com")]),
+        ("account GB82 WEST 1234 5698 7654 32 of the firm", []),
+        ("SSN:" + " " * 90 + "995-93-4152", [("ID", "995-93-4152")]),
+        ("one of two sites, three shifts, four lines and five, six or seven of us at point three", []),
+        ("The one. Two three, at the dot of noon", []),
+    ],
+)
+def test_disguises(find, text, want):
+    assert find("x.\n" + text) == want
+
+
+def test_a_verb_behind_a_titled_name(find):
+    assert find("Mr Tanaka called\nx") == [("NAME", "Tanaka")]
+
+
+def test_many_spans_in_one_text(find):
+    text = " ".join(f"u{i}@firm.com" for i in range(20_000))
+    assert len(find(text)) == 20_000
+
+
 @pytest.mark.parametrize("sign", ["[@]", " (@) ", " { at } ", "< at >", " (  at ) ", "(\tAT)", " [ @ ] "])
 def test_disguise_without_the_word_dot(find, sign):
     assert find(f"x.\nMail: jane{sign}firm.com now.") == [("EMAIL", f"jane{sign}firm.com")]
