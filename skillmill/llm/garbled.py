@@ -3,7 +3,8 @@
 Method. One pass over the corpus counts adjacent character pairs with a character outside ASCII. Each pair is
 scored by what it adds to the corpus's mutual information; in each text the maximum-scoring segments of
 improbable pairs are isolated, and inverse mappings (write with the wrong encoding, read with the right one)
-are tested only inside those. A mapping is taken if the pairs it gives are likelier than those it removes.
+are tested only inside those. A mapping is taken if the text it gives is likelier than the one it removes, where bytes
+that make UTF-8 count for what it is unlikely that ordinary text makes them.
 """
 
 from __future__ import annotations
@@ -29,8 +30,11 @@ CLASSES = 16
 CELLS = 2 * ROW + CLASSES * CLASSES + CLASSES
 #: A pair whose share of mutual information is above this is taken to be ordinary text.
 ORDINARY = 2e-3
-#: Log-likelihood that a mapping must gain: where the bytes are valid UTF-8 by themselves, and where any bytes are valid.
-GAIN_UTF8, GAIN_BYTES = -4.0, 3.0
+#: Score of a pair with U+FFFD, which no ordinary text holds, and of a pair within ASCII, which is not counted.
+LOST, PLAIN = 5.0, -1.0
+#: Log-likelihood that a mapping between one-byte encodings must gain, as any of its bytes are valid; and the evidence of each byte of a
+#: UTF-8 sequence: signs and capitals of the upper half seldom stand so by chance.
+GAIN_BYTES, BYTE_EVIDENCE = 3.0, 2.0
 KEEP = 300_000
 #: How many occurrences of a character the likelihood of its class counts for.
 WEIGHT = 25.0
@@ -39,7 +43,8 @@ WEIGHT = 25.0
 MISREAD = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "latin_1")
 ONE_BYTE = (("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "cp850"))
 
-_RUN = re.compile(r"[^\x00-\x7f]+(?:[ ?](?=[^\x00-\x7f]))?")
+_HIGH = re.compile(r"[^\x00-\x7f]+")
+_LINE = re.compile(r"[^\n]*[^\x00-\x7f][^\n]*")
 _ENTITY = r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8}\d{0,2});"
 #: A run of entities and of characters beside them, taken from the run's beginning on.
 _ENTITIES = re.compile(rf"(?<![^\x00-\x7f])[^\x00-\x7f]*+(?:{_ENTITY}[^\x00-\x7f]*+)+")
@@ -184,7 +189,7 @@ class Model:
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts
         self.pairs: dict[tuple[str, str], tuple[float, float]] = {}
-        self.known: dict[str, str | None] = {}
+        self.known: dict[tuple[str, str, str], str | None] = {}
         self.all = max(1.0, float(self.look(np.arange(128), np.full(128, ALONE)).sum()))
 
     def look(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -199,8 +204,10 @@ class Model:
             y[1:] = ALONE
             n, na, nb = (float(v) for v in self.look(x, y))
             high = a > "\x7f" or b > "\x7f"
-            if not high:  # such pairs are not counted; they are ordinary
-                got = (math.log(max(nb, 1) / self.all), -1.0)
+            if "\ufffd" in (a, b):
+                got = (math.log(max(nb, 1) / self.all), LOST)
+            elif not high:  # such pairs are not counted; they are ordinary
+                got = (math.log(max(nb, 1) / self.all), PLAIN)
             else:
                 # the pair's share of mutual information, for a corpus of only the non-ASCII characters' surroundings
                 share = n / max(na if a > "\x7f" else nb, nb if b > "\x7f" else na, 1.0)
@@ -209,44 +216,70 @@ class Model:
                 ca, cb = (int(classes()[ord(c)]) for c in (a, b))
                 by_class = (self.counts[2 * ROW + ca * CLASSES + cb] + 0.01) / (self.counts[ca - CLASSES] + 1) * (nb + 0.05) / (self.counts[cb - CLASSES] + 1)
                 got = (math.log((n + WEIGHT * by_class) / (na + WEIGHT)), math.log(ORDINARY) - math.log(info + 1e-12))
-            if len(self.pairs) < KEEP:
-                self.pairs[a, b] = got
+            if len(self.pairs) >= KEEP:
+                self.pairs.clear()
+            self.pairs[a, b] = got
         return got
 
     def likelihood(self, s: str) -> float:
         return sum(self.pair(a, b)[0] for a, b in zip(s, s[1:]))
 
-    def restore(self, around: str) -> str | None:
-        """``around`` is a run with the character before and behind it. The run as it was, or null if it is ordinary."""
-        if around in self.known:
-            return self.known[around]
-        if len(self.known) >= KEEP:
-            self.known.clear()
-        got = self.known[around] = self._restore(around)
-        return got
-
-    def _restore(self, around: str) -> str | None:
-        run, out, at = around[1:-1], [], 0
-        for lo, hi, fixed in (found := self.spans(around)):
-            out += [run[at:lo], fixed]
-            at = hi
-        return "".join(out) + run[at:] if found else None
-
-    def spans(self, around: str) -> list[tuple[int, int, str]]:
-        """The parts of the run that were misread, as (start, end, as it was)."""
-        before, run, after = around[0], around[1:-1], around[-1]
-        out, at = [], 0
-        for start, end in segments([self.pair(a, b)[1] for a, b in zip(around, around[1:])]):
-            lo, hi = max(start - 1, 0), min(end, len(run))  # pairs start..end-1 span characters start..end of ``around``
-            lo = max(lo, at)
-            if lo >= hi:
-                continue
-            fixed = self._inverse(run[lo - 1] if lo else before, run[lo:hi], run[hi] if hi < len(run) else after)
-            if fixed is not None:
-                out.append((lo, hi, fixed))
+    def spans(self, around: str) -> list[tuple[int, int, str | None]]:
+        """The parts of a line that were misread, as (start, end, as it was, or null where that is lost). ``around`` is the line with
+        a character before and behind it. Stretches of ASCII count as one low score, so that segments are those of all its pairs."""
+        scores, first, last, until = [], [], [], 0
+        pair, hopeful = self.pair, False
+        for m in _HIGH.finditer(around):
+            lo, hi = m.start() - 1, min(m.end(), len(around) - 1)
+            if scores and lo > until:
+                scores.append(PLAIN * (lo - until))
+                first.append(until)
+                last.append(lo)
+            for k in range(max(lo, until), hi):
+                x = pair(around[k], around[k + 1])[1]
+                hopeful = hopeful or x > 0
+                scores.append(x)
+                first.append(k)
+                last.append(k + 1)
+            until = hi
+        out: list[tuple[int, int, str | None]] = []
+        at = 0
+        for start, end in segments(scores) if hopeful else ():
+            lo, hi = max(first[start] - 1, at), min(last[end - 1], len(around) - 2)
+            if lo < hi:
+                out += self._mend(around, lo, hi)
                 at = hi
         return out
 
+    def _mend(self, around: str, lo: int, hi: int) -> list[tuple[int, int, str | None]]:
+        """A segment as one, else each of its runs outside ASCII with the characters beside it."""
+        s = around[lo + 1 : hi + 1]
+        if (fixed := self.restore(around[lo], s, around[hi + 1])) is not None:
+            return [(lo, hi, fixed)]
+        runs = [(max(lo, lo + m.start() - 1), min(hi, lo + m.end() + 1)) for m in _HIGH.finditer(s)]
+        if len(runs) > 1:
+            out: list[tuple[int, int, str | None]] = []
+            at = lo
+            for a, b in runs:
+                if max(a, at) < b:
+                    out += self._mend_one(around, max(a, at), b)
+                    at = out[-1][1] if out and out[-1][1] > at else at
+            return out
+        return [(lo, hi, None)] if "\ufffd" in s else []
+
+    def _mend_one(self, around: str, lo: int, hi: int) -> list[tuple[int, int, str | None]]:
+        s = around[lo + 1 : hi + 1]
+        fixed = self.restore(around[lo], s, around[hi + 1])
+        return [(lo, hi, fixed)] if fixed is not None or "\ufffd" in s else []
+
+    def restore(self, before: str, s: str, after: str) -> str | None:
+        """A segment as it was, or null if no inverse mapping makes it likelier."""
+        if (before, s, after) not in self.known:
+            if len(self.known) >= KEEP:
+                self.known.clear()
+            self.known[before, s, after] = self._inverse(before, s, after)
+        return self.known[before, s, after]
+
     def _entities(self, t: str, start: int, end: int) -> str | None:
         """A run of entities and characters with the misread parts that hold an entity as they were, or null if there are none.
 
@@ -255,12 +288,14 @@ class Model:
         plain = [html.unescape(u) for u in units]
         run = "".join(plain)
         around = (t[start - 1] if start else "\n") + run + (t[end] if end < len(t) else "\n")
-        if run.isascii() or self.restore(around) is None:
+        if run.isascii():
             return None
         owner = [i for i, p in enumerate(plain) for _ in p]
         named = [u.isascii() for u in units]
         decoded, fixes = set(), {}
         for lo, hi, fixed in self.spans(around):
+            if fixed is None:
+                continue
             i, j = owner[lo], owner[hi - 1] + 1
             if not any(named[i:j]):
                 continue
@@ -291,19 +326,13 @@ class Model:
         best: tuple[float, str] | None = None
         for codec in MISREAD:
             new, used = utf8_inverse(s, codec)
-            if not used:
-                continue
-            gain = self.likelihood(before + new + after) - here
-            sure = used >= 3 and used >= len(s) - 1
-            again, more = utf8_inverse(new, codec)
-            if more:
-                twice = self.likelihood(before + again + after) - here
-                if twice > gain - 4:
-                    new, gain, sure = again, twice, True
-            if gain > GAIN_UTF8 or sure:
-                gain += 2.0 * used
-                if best is None or gain > best[0]:
+            more = used
+            while more:  # misread once, or again
+                gain = self.likelihood(before + new + after) - here + BYTE_EVIDENCE * used
+                if gain > 0 and (best is None or gain > best[0]):
                     best = (gain, new)
+                new, more = utf8_inverse(new, codec)
+                used += more
         if best is None:
             for pair in ONE_BYTE:
                 table = _RECODE[pair]
@@ -328,22 +357,15 @@ class Model:
             t = "".join(parts) + t[k:]
         if t.isascii():
             return hit, t
-        n = len(t)
-        for m in _RUN.finditer(t):
-            lo, hi = m.span()
-            around = (t[lo - 1] if lo else "\n") + t[lo:hi] + (t[hi] if hi < n else "\n")
-            if "�" in around:
+        for m in _LINE.finditer(t):
+            for lo, hi, fixed in self.spans("\n" + m.group() + "\n"):
                 hit = True
-            fixed = self.restore(around)
-            if fixed is not None:
-                out += [t[at:lo], fixed]
-                at, hit = hi, True
+                if fixed is not None:
+                    out += [t[at : m.start() + lo], fixed]
+                    at = m.start() + hi
         return hit, "".join(out) + t[at:] if out else t
 
 
-_MADE: dict[str, Model] = {}
-
-
 def find_garbled(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, is_garbled, restored`` of every row: whether ``text`` holds a misread sequence, and the text with every
     sequence restored that can be. Replaced characters (U+FFFD) make a text affected and stay as they are.
