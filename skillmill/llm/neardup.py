@@ -8,21 +8,28 @@ takes the l with the least estimated cost; a pair is held to the smaller l of it
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..session import cut, load, spread
+from ..session import cut, load, settled, spread
 
 #: Most shared prefix shingles asked for, and what one verification costs against one joined posting.
 MOST_SHARED, VERIFY_COST = 8, 12.0
-#: A shingle in more than this share of the records is joined by broadcast: there are at most
-#: (shingles a record) / HOT_SHARE of them, whatever the number of records.
+#: A key that more than this share of the rows have is joined by broadcast: there are at most 1 / HOT_SHARE of them, whatever
+#: the number of rows (of shingles, times the shingles of a record; their number is checked).
 HOT_SHARE = 0.002
 #: Postings, and copies of one record, are joined in blocks of this many, so that no key is one task's work.
 BLOCK = 1_000
+#: Copies of a hot shingle's count, where there are too many hot shingles to be sent to every executor.
+SALTS = 64
+#: Bits of the table of shingles that several records hold (16 MB, whatever the corpus); it spares the others a shuffle.
+BITS = 1 << 27
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, words: int, least_tokens: int) -> DataFrame:
@@ -56,18 +63,69 @@ def _self_join(df: DataFrame, key: list[str], keep: list[str], count: Column, by
     return a.join(b, [*key, "_lo", "_hi"]).where(once).drop("_lo", "_hi", "a__own", "b__own")
 
 
-def ordered_prefixes(sets: DataFrame, share: float) -> DataFrame:
-    """``h, c, id, n, l, layer, behind``: the prefix postings of each set, with their frequency, the chosen l, the least l whose
-    prefix holds the posting, and the shingles behind it in the order. Shingles of one record only cannot match and give none."""
-    each = sets.select("id", F.explode("s").alias("h"))
-    # A shingle counts as hot by its share of the records; the table of hot ones is bounded, see HOT_SHARE.
+def _join_hot(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int) -> DataFrame:
+    """``rows`` joined with ``table``, whose rows say in ``count`` how many of ``rows`` have their key. Keys of a large share of the
+    ``total`` are joined by broadcast, so that none is one task's work."""
+    most = max(BLOCK, HOT_SHARE * total)
+    own = rows.columns
+    hot = rows.join(F.broadcast(table.where(F.col(count) > most)), on, "left")
+    cold = hot.where(F.col(count).isNull()).select(*own).join(table.where(F.col(count) <= most), on)
+    return hot.where(F.col(count).isNotNull()).unionByName(cold)
+
+
+def _held_by_several(sets: DataFrame, counts: DataFrame) -> DataFrame:
+    """``id, n, s`` with those shingles only that may be among ``counts``: a table of bits goes to every worker."""
+    words = BITS // 64
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(words, np.uint64)
+        for b in batches:
+            at = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(BITS - 1)
+            np.bitwise_or.at(table, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(table[used].view(np.int64))], names=["at", "bits"])
+
+    got = counts.select("h").mapInArrow(mark, "at bigint, bits bigint").groupBy("at").agg(F.expr("bit_or(bits)").alias("bits")).toArrow()
+    table = np.zeros(words, np.uint64)
+    table[got["at"].to_numpy()] = got["bits"].to_numpy().view(np.uint64)
+    sent = sets.sparkSession.sparkContext.broadcast(table)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
+        for b in batches:
+            lists = b.column(2)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            at = flat.view(np.uint64) & np.uint64(BITS - 1)
+            good = (table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            ends = np.concatenate([[0], np.cumsum(good)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))])]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[good]))], names=["id", "n", "s"])
+
+    return sets.select("id", "n", "s").mapInArrow(keep, "id bigint, n int, s array<bigint>")
+
+
+def shared_shingles(sets: DataFrame) -> DataFrame:
+    """``id, n, p``: of each set (``id, n, s``) its size and the shingles that other sets hold too, as (frequency, shingle) rarest first."""
+    counts = cut(sets.select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c")).where("c > 1"))
+    each = _held_by_several(sets, counts).select("id", "n", F.explode("s").alias("h"))
     most = max(BLOCK, HOT_SHARE * sets.count())
-    counts = each.groupBy("h").agg(F.count("*").alias("c")).where("c > 1")
-    hot, cold = counts.where(F.col("c") > most), counts.where(F.col("c") <= most)
-    with_hot = each.join(F.broadcast(hot), "h", "left")
-    counted = with_hot.where("c is not null").unionByName(with_hot.where("c is null").drop("c").join(cold, "h"))
-    docs = counted.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("p")).join(sets.select("id", F.size("s").alias("n")), "id")
+    hot, small = settled(counts.where(F.col("c") > most))
+    if small:
+        with_hot = each.join(hot, "h", "left")
+        with_cold = with_hot.where("c is null").drop("c").join(counts.where(F.col("c") <= most), "h")
+        counted = with_hot.where("c is not null").unionByName(with_cold)
+    else:  # long records: more hot shingles than are sent to every executor
+        salt = F.when(F.col("c") > most, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.sequence(F.lit(0), F.lit(0)))
+        salted = counts.withColumn("salt", F.explode(salt)).withColumn("all", F.when(F.col("c") > most, SALTS).otherwise(1))
+        one, many = (each.withColumn("salt", c) for c in (F.lit(0), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")))
+        counted = one.join(salted.where("all = 1"), ["h", "salt"]).unionByName(many.join(salted.where("all > 1"), ["h", "salt"])).select("h", "id", "n", "c")
+    return counted.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("c", "h"))).alias("p"))
+
+
+def ordered_prefixes(docs: DataFrame, share: float) -> DataFrame:
+    """``h, c, id, n, l, layer, behind``: the prefix postings of each set of ``shared_shingles``, with their frequency, the chosen l, the
+    least l whose prefix holds the posting, and the shingles behind it in the order. Shingles of one record only cannot match and give none."""
     need = F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("int")  # what any partner shares at least
+    docs = docs.where(F.size("p") >= need)  # fewer shared shingles than any partner needs
     docs = docs.withColumn("alone", F.col("n") - F.size("p")).withColumn("spare", F.col("n") - need)
     length = lambda k: F.greatest(F.lit(0), F.least(F.size("p"), F.col("spare") + k - F.col("alone")))
     sums = F.array(*[F.aggregate(F.slice("p", 1, length(k)), F.lit(0.0), lambda a, x: a + x["c"]) for k in range(1, MOST_SHARED + 1)])
@@ -75,19 +133,20 @@ def ordered_prefixes(sets: DataFrame, share: float) -> DataFrame:
     cost = lambda s, k: F.struct((F.element_at(s, k) * (F.lit(1.0) + F.lit(VERIFY_COST) / k)).alias("cost"), k.alias("l"))
     docs = docs.withColumn("l", let(sums, lambda s: F.array_min(F.transform(F.sequence(F.lit(1), most_l), lambda k: cost(s, k))))["l"])
     prefix = F.slice("p", 1, F.greatest(F.lit(0), F.least(F.size("p"), F.col("spare") + F.col("l") - F.col("alone"))))
-    out = docs.select("id", "n", "l", "alone", "spare", F.posexplode(prefix).alias("at", "x"))
+    out = docs.select("id", "n", "l", "alone", "spare", F.posexplode_outer(prefix).alias("at", "x")).where("x is not null")
     return out.select(F.col("x.h").alias("h"), F.col("x.c").alias("c"), "id", "n", "l", F.greatest(F.lit(1), F.col("alone") + F.col("at") + 1 - F.col("spare")).cast("int").alias("layer"), (F.col("n") - 1 - F.col("alone") - F.col("at")).alias("behind"))
 
 
 def similar_classes(sets: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
-    """(members, links): ``rep, id`` of every record, where records with equal sets have one representative, and
+    """(members, links): ``rep, id, size`` of every record, where records with equal sets have one representative, the least of them, and
     ``a, b`` with a < b of the representatives whose sets are similar. Nothing is dropped or capped."""
-    sets = sets.withColumn("k1", F.xxhash64("s")).withColumn("k2", F.hash("s", F.lit(7)))
-    sets = cut(sets)
-    reps = sets.groupBy("k1", "k2", F.size("s").alias("n")).agg(F.min("id").alias("rep"))
-    members = sets.select("id", "k1", "k2", F.size("s").alias("n")).join(reps, ["k1", "k2", "n"]).select("rep", "id")
-    own = sets.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s")
-    post = ordered_prefixes(own, share)
+    sets = cut(sets.select("id", "s", F.xxhash64("s").alias("k1"), F.hash("s", F.lit(7)).alias("k2"), F.size("s").alias("n")))
+    keyed = sets.select("id", "k1", "k2", "n")
+    classes = cut(keyed.groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
+    members = cut(_join_hot(keyed, classes, ["k1", "k2", "n"], "size", keyed.count()).select("rep", "id", "size"))
+    copies, _ = settled(members.where("id <> rep").select("id"))
+    docs = cut(shared_shingles(sets.join(copies, "id", "left_anti").select("id", "n", "s")))
+    post = ordered_prefixes(docs, share)
     met = _self_join(post, ["h"], ["id", "n", "l", "layer", "behind"], F.col("c"), F.xxhash64("id"))
     asked = F.least("a_l", "b_l")
     size_fits = F.least("a_n", "b_n") >= F.lit(share) * F.greatest("a_n", "b_n") - 1e-9
@@ -95,13 +154,15 @@ def similar_classes(sets: DataFrame, share: float) -> tuple[DataFrame, DataFrame
     overlap = F.ceil(F.lit(share / (1 + share)) * (F.col("a_n") + F.col("b_n")) - 1e-9)
     in_time = F.least("a_behind", "b_behind") + asked >= overlap
     met = met.where(size_fits & (F.greatest("a_layer", "b_layer") <= asked) & in_time)
-    met = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), "h", asked.alias("asked"))
+    met = met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"), asked.alias("asked"))
     pairs = met.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("asked").alias("asked"))
     candidates = pairs.where("m >= asked").select("a", "b")
-    left = candidates.join(own.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(own.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    # what two sets share is among the shingles that several sets hold
+    held = docs.select("id", "n", F.col("p.h").alias("s"))
+    left = candidates.join(held.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
+    both = left.join(held.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
     o = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(o / (F.size("sa") + F.size("sb") - o) >= F.lit(share)).select("a", "b")
+    links = both.where(o / (F.col("na") + F.col("nb") - o) >= F.lit(share)).select("a", "b")
     return members, links
 
 
@@ -112,13 +173,14 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     while True:
+        total = edges.count()
         # large star: every larger neighbour of u is tied to the least of u's neighbourhood
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("deg"))
+        large = _join_hot(both, least, ["u"], "deg", total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # small star: u and its smaller neighbours are tied to the least of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("deg"))
+        small = _join_hot(large, low, ["u"], "deg", total).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         new = cut(small)
         same = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
         edges = new
@@ -135,15 +197,15 @@ def near_duplicates(df: DataFrame, key: str, text: str, share: float = 0.8, word
     named by its least ``row_id``. Records with null, empty or short texts stand alone with no links. Rows with
     a null key are left out; a repeated key is not expected. Other columns of ``df`` are not read.
     """
-    sets = shingle_sets(df, key, text, words, least_tokens)
-    members, links = similar_classes(sets, share)
-    members, links = cut(members), cut(links)
-    sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
+    members, links = similar_classes(shingle_sets(df, key, text, words, least_tokens), share)
+    links = cut(links)
+    sizes = members.where("id = rep").select("rep", "size")
     ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    more = ends.join(sizes.withColumnRenamed("rep", "other"), "other").groupBy("rep").agg(F.sum("size").alias("more"))
+    degrees = ends.groupBy("other").agg(F.count("*").alias("deg")).join(sizes.withColumnRenamed("rep", "other"), "other")
+    more = _join_hot(ends, degrees, ["other"], "deg", ends.count()).groupBy("rep").agg(F.sum("size").alias("more"))
     reps = sizes.join(more, "rep", "left").join(components(links).withColumnRenamed("node", "rep"), "rep", "left")
-    reps = reps.select("rep", F.coalesce("root", "rep").alias("group_id"), (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
-    found = members.join(reps, "rep").select(F.col("id").alias("row_id"), "group_id", "n_links")
+    reps = reps.select("rep", "size", F.coalesce("root", "rep").alias("group_id"), (F.col("size") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    found = _join_hot(members.select("rep", "id"), reps, ["rep"], "size", members.count()).select(F.col("id").alias("row_id"), "group_id", "n_links")
     # representatives are the least of their class, so the least of a component is the least row of its group
     alone = df.select(F.col(key).cast("bigint").alias("row_id")).where("row_id is not null")
     return alone.join(found, "row_id", "left").select("row_id", F.coalesce("group_id", "row_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
@@ -152,10 +214,16 @@ def near_duplicates(df: DataFrame, key: str, text: str, share: float = 0.8, word
 def similar_pairs(df: DataFrame, key: str, text: str, share: float = 0.8, words: int = 5, least_tokens: int = 5) -> DataFrame:
     """``row_id_a, row_id_b`` with a < b of all linked records, copies expanded; see ``near_duplicates``."""
     members, links = similar_classes(shingle_sets(df, key, text, words, least_tokens), share)
-    members = cut(members)
-    classes = members.groupBy("rep").agg(F.count("*").alias("size")).where("size > 1")
-    copies = _self_join(members.join(classes, "rep"), ["rep"], ["id"], F.col("size"), F.xxhash64("id")).select(F.col("a_id").alias("x"), F.col("b_id").alias("y"))
-    across = links.join(members.select(F.col("rep").alias("a"), F.col("id").alias("x")), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("y")), "b").select("x", "y")
+    several = members.where("size > 1")
+    copies = _self_join(several.select("rep", "id", F.col("size").alias("_size")), ["rep"], ["id"], F.col("_size"), F.xxhash64("id")).select(F.col("a_id").alias("x"), F.col("b_id").alias("y"))
+    # a link stands for all pairs of its two classes; large classes are met block by block
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cuts = members.where("id = rep").select("rep", blocks.alias("nb"))
+    placed = members.select("rep", "id", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    side = lambda r, i, block: placed.select(F.col("rep").alias(r), F.col("id").alias(i), F.col("block").alias(block))
+    met = links.join(cuts.toDF("a", "na"), "a").join(cuts.toDF("b", "nb"), "b")
+    met = met.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("ba"), "nb").select("a", "b", "ba", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bb"))
+    across = met.join(side("a", "x", "ba"), ["a", "ba"]).join(side("b", "y", "bb"), ["b", "bb"]).select("x", "y")
     return copies.unionByName(across).select(F.least("x", "y").alias("row_id_a"), F.greatest("x", "y").alias("row_id_b"))
 
 
