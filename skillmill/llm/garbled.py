@@ -44,7 +44,6 @@ MISREAD = ("cp1252", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "latin_1
 ONE_BYTE = (("mac_roman", "cp1252"), ("cp1251", "cp1252"), ("cp1252", "mac_roman"), ("cp437", "cp1252"), ("cp850", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "cp850"))
 
 _HIGH = re.compile(r"[^\x00-\x7f]+")
-_LINE = re.compile(r"[^\n]*[^\x00-\x7f][^\n]*")
 _ENTITY = r"&(?:#\d{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z]{2,8}\d{0,2});"
 #: A run of entities and of characters beside them, taken from the run's beginning on.
 _ENTITIES = re.compile(rf"(?<![^\x00-\x7f])[^\x00-\x7f]*+(?:{_ENTITY}[^\x00-\x7f]*+)+")
@@ -161,26 +160,32 @@ def _recode(codec: str, written: str) -> dict[str, str]:
 _RECODE = {pair: _recode(*pair) for pair in ONE_BYTE}
 
 
+def _sequences(codec: str) -> re.Pattern:
+    """The valid UTF-8 sequences of more than one byte, as they look under ``codec``."""
+
+    def any_of(lo: int, hi: int) -> str:
+        return "[" + re.escape("".join(c for c, b in _TO_BYTE[codec].items() if lo <= b <= hi)) + "]"
+
+    tail = any_of(0x80, 0xBF)
+    kinds = [any_of(0xC2, 0xDF) + tail, any_of(0xC3, 0xC3) + " "]  # the no-break space of a misread a-grave may have become a space
+    kinds += [any_of(0xE0, 0xE0) + any_of(0xA0, 0xBF) + tail, any_of(0xE1, 0xEC) + tail * 2, any_of(0xED, 0xED) + any_of(0x80, 0x9F) + tail, any_of(0xEE, 0xEF) + tail * 2]
+    kinds += [any_of(0xF0, 0xF0) + any_of(0x90, 0xBF) + tail * 2, any_of(0xF1, 0xF3) + tail * 3, any_of(0xF4, 0xF4) + any_of(0x80, 0x8F) + tail * 2]
+    return re.compile("|".join(k for k in kinds if "[]" not in k))
+
+
+_SEQUENCES = {c: _sequences(c) for c in MISREAD}
+
+
 def utf8_inverse(s: str, codec: str) -> tuple[str, int]:
     """``s`` with every valid UTF-8 sequence of its bytes under ``codec`` read as UTF-8, and the bytes so read."""
-    table, out, used, i = _TO_BYTE[codec], [], 0, 0
-    while i < len(s):
-        b = table.get(s[i], 0)
-        n = 2 if 0xC2 <= b <= 0xDF else 3 if 0xE0 <= b <= 0xEF else 4 if 0xF0 <= b <= 0xF4 else 0
-        part = s[i : i + n]
-        if n and len(part) == n:
-            # the no-break space of a misread a-grave may have become a space
-            tail = [table.get(c, 0xA0 if c == " " and b == 0xC3 else 0) for c in part[1:]]
-            try:
-                out.append(bytes([b, *tail]).decode("utf-8"))
-                used += n
-                i += n
-                continue
-            except (UnicodeDecodeError, ValueError):
-                pass
-        out.append(s[i])
-        i += 1
-    return "".join(out), used
+    table, used = _TO_BYTE[codec], 0
+
+    def read(m: re.Match) -> str:
+        nonlocal used
+        used += len(m.group())
+        return bytes(table.get(c, 0xA0) for c in m.group()).decode("utf-8")
+
+    return _SEQUENCES[codec].sub(read, s), used
 
 
 class Model:
@@ -189,6 +194,8 @@ class Model:
     def __init__(self, counts: np.ndarray) -> None:
         self.counts = counts
         self.pairs: dict[tuple[str, str], tuple[float, float]] = {}
+        self.likely: dict[str, float] = {}
+        self.runs: dict[str, tuple[bool, list[float]]] = {}
         self.known: dict[tuple[str, str, str], str | None] = {}
         self.all = max(1.0, float(self.look(np.arange(128), np.full(128, ALONE)).sum()))
 
@@ -222,29 +229,45 @@ class Model:
         return got
 
     def likelihood(self, s: str) -> float:
-        return sum(self.pair(a, b)[0] for a, b in zip(s, s[1:]))
+        """Of the pairs with a character outside ASCII; those within ASCII are the same before and after a mapping."""
+        total = 0.0
+        for m in _HIGH.finditer(s):
+            around = s[max(m.start() - 1, 0) : m.end() + 1]
+            got = self.likely.get(around)
+            if got is None:
+                if len(self.likely) >= KEEP:
+                    self.likely.clear()
+                got = self.likely[around] = sum(self.pair(a, b)[0] for a, b in zip(around, around[1:]))
+            total += got
+        return total
+
+    def run(self, around: str) -> tuple[bool, list[float]]:
+        """The scores of the pairs of a run with the character before and behind it, and whether one of them is improbable."""
+        got = self.runs.get(around)
+        if got is None:
+            if len(self.runs) >= KEEP:
+                self.runs.clear()
+            scores = [self.pair(a, b)[1] for a, b in zip(around, around[1:])]
+            got = self.runs[around] = (max(scores) > 0, scores)
+        return got
 
     def spans(self, around: str) -> list[tuple[int, int, str | None]]:
         """The parts of a line that were misread, as (start, end, as it was, or null where that is lost). ``around`` is the line with
         a character before and behind it. Stretches of ASCII count as one low score, so that segments are those of all its pairs."""
         scores, first, last, until = [], [], [], 0
-        pair, hopeful = self.pair, False
         for m in _HIGH.finditer(around):
-            lo, hi = m.start() - 1, min(m.end(), len(around) - 1)
+            lo, hi = m.start() - 1, m.end()
             if scores and lo > until:
                 scores.append(PLAIN * (lo - until))
                 first.append(until)
                 last.append(lo)
-            for k in range(max(lo, until), hi):
-                x = pair(around[k], around[k + 1])[1]
-                hopeful = hopeful or x > 0
-                scores.append(x)
-                first.append(k)
-                last.append(k + 1)
+            scores += self.run(around[lo : hi + 1])[1]
+            first += range(lo, hi)
+            last += range(lo + 1, hi + 1)
             until = hi
         out: list[tuple[int, int, str | None]] = []
         at = 0
-        for start, end in segments(scores) if hopeful else ():
+        for start, end in segments(scores):
             lo, hi = max(first[start] - 1, at), min(last[end - 1], len(around) - 2)
             if lo < hi:
                 out += self._mend(around, lo, hi)
@@ -357,12 +380,19 @@ class Model:
             t = "".join(parts) + t[k:]
         if t.isascii():
             return hit, t
-        for m in _LINE.finditer(t):
-            for lo, hi, fixed in self.spans("\n" + m.group() + "\n"):
+        n, done = len(t), 0
+        for m in _HIGH.finditer(t):
+            lo, hi = m.span()
+            # only a line with an improbable pair has a segment
+            if lo < done or not self.run((t[lo - 1] if lo else "\n") + t[lo : hi + 1] + ("" if hi < n else "\n"))[0]:
+                continue
+            begin, done = t.rfind("\n", 0, lo) + 1, t.find("\n", hi)
+            done = done if done >= 0 else n
+            for a, b, fixed in self.spans("\n" + t[begin:done] + "\n"):
                 hit = True
                 if fixed is not None:
-                    out += [t[at : m.start() + lo], fixed]
-                    at = m.start() + hi
+                    out += [t[at : begin + a], fixed]
+                    at = begin + b
         return hit, "".join(out) + t[at:] if out else t
 
 
