@@ -31,8 +31,12 @@ class Settings:
     llm_timeout_seconds: float = 60.0
     llm_max_retries: int = 5
     llm_429_backoff_seconds: float = 10.0
+    #: Words left out when a dictionary is mined; none named: STOP_WORDS.
     stop_words: frozenset[str] = field(default_factory=frozenset)
 
+    def mining_words(self) -> tuple[str, ...]:
+        return tuple(sorted(self.stop_words)) or STOP_WORDS
+
     @staticmethod
     def from_env() -> Settings:
         return Settings(
@@ -45,6 +49,10 @@ class Settings:
             max_terms=_env("SKILL_MAX_TERMS", int, 2000),
             html_max_files=_env("HTML_MAX_FILES", int, 0),
             pdf_max_files=_env("PDF_MAX_FILES", int, 0),
+            llm_timeout_seconds=_env("LLM_TIMEOUT_SECONDS", float, 60.0),
+            llm_max_retries=_env("LLM_MAX_RETRIES", int, 5),
+            llm_429_backoff_seconds=_env("LLM_429_BACKOFF_SECONDS", float, 10.0),
+            stop_words=frozenset(_w(_env("SKILL_STOP_WORDS", str, ""))),
             enable_embeddings=str(_env("ENABLE_EMBEDDINGS", str, "true")).lower() in ("1", "true", "yes"),
         )
 

@@ -6,11 +6,13 @@ which entries were written (a later entry wins where the rule says so).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as cfg
-from ..functions.text import clean_name, is_simple, match_norm, skill_norm, strip
+from ..functions.text import clean_name, match_norm, skill_norm, strip
 
 ROWS = "canonical string, phrase string, pos bigint"
 
@@ -18,8 +20,9 @@ ROWS = "canonical string, phrase string, pos bigint"
 def entries_of_map(df: DataFrame, column: str, pos: str | None = None) -> DataFrame:
     """``canonical, aliases, pos`` of each entry of a map<string, array<string>>. Null maps and null keys give nothing; a null list stays null."""
     order = F.col(pos).cast("bigint") if pos else F.lit(0).cast("bigint")
-    rows = df.select(order.alias("_p"), F.posexplode(F.map_entries(column)).alias("_i", "_e"))
-    return rows.select(F.col("_e.key").alias("canonical"), F.col("_e.value").alias("aliases"), (F.col("_p") * 1_000_000 + F.col("_i")).alias("pos"))
+    rows = df.select(order.cast("decimal(19,0)").alias("_p"), F.posexplode(F.map_entries(column)).alias("_i", "_e"))
+    place = F.col("_p") * F.lit(1 << 31).cast("decimal(10,0)") + F.col("_i")  # an array has fewer elements than that
+    return rows.select(F.col("_e.key").alias("canonical"), F.col("_e.value").alias("aliases"), place.alias("pos"))
 
 
 def _norm(c: Column) -> Column:
@@ -207,16 +210,27 @@ def noun_check(tags: Column, tokens: Column, name: Column) -> Column:
     return ~((F.size(tokens) == 1) & (F.length(name) < 8)) & ~bad & good & tags.isNotNull()
 
 
-def filter_entries(entries: DataFrame, strict: bool = False) -> DataFrame:
-    """``canonical, aliases`` after stage 3, of entries after stage 2: keys that are skills, with those aliases that are."""
-    named = entries.select(skill_norm("canonical").alias("canonical"), "aliases").where(is_skill(F.col("canonical"), strict))
+Tagger = Callable[[Column], Column]
+
+
+def noun_tagger(tags: Tagger) -> Tagger:
+    """name -> whether it is a noun, by a tagger that gives the part-of-speech tags of an array of tokens."""
+    return lambda name: F.coalesce(noun_check(tags(F.split(name, " +")), F.split(name, " +"), name), F.lit(False))
+
+
+def filter_entries(entries: DataFrame, strict: bool = False, nouns: Tagger | None = None) -> DataFrame:
+    """``canonical, aliases`` after stage 3, of entries after stage 2: keys that are skills, with those aliases that are.
+    ``nouns`` says of a name whether it is a noun, see ``noun_tagger``."""
+    tagged = lambda c: nouns(c) if nouns else None
+    named = entries.select(skill_norm("canonical").alias("canonical"), "aliases").where(is_skill(F.col("canonical"), strict, tagged(F.col("canonical"))))
     each = named.select("canonical", F.explode(F.array_union(F.array("canonical"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("a")).select("canonical", skill_norm("a").alias("phrase"))
-    return _assembled(each.where((F.col("phrase") != "") & ((F.col("phrase") == F.col("canonical")) | is_skill(F.col("phrase"), strict))))
+    return _assembled(each.where((F.col("phrase") != "") & ((F.col("phrase") == F.col("canonical")) | is_skill(F.col("phrase"), strict, tagged(F.col("phrase"))))))
 
 
-def filtering_stats(entries: DataFrame) -> DataFrame:
+def filtering_stats(entries: DataFrame, nouns: Tagger | None = None) -> DataFrame:
     """One row ``original, removed, final`` of stage 3."""
-    return entries.agg(F.count("*").alias("original"), F.count_if(~is_skill(skill_norm("canonical"))).alias("removed")).withColumn("final", F.col("original") - F.col("removed"))
+    name = skill_norm("canonical")
+    return entries.agg(F.count("*").alias("original"), F.count_if(~is_skill(name, nouns=nouns(name) if nouns else None)).alias("removed")).withColumn("final", F.col("original") - F.col("removed"))
 
 
 def profile(entries: DataFrame, top: int = 50) -> DataFrame:
@@ -234,9 +248,3 @@ def sample_entries(entries: DataFrame, n: int = 20, seed: int = 0) -> DataFrame:
 def empty_rows(spark: SparkSession) -> DataFrame:
     """A dictionary that is missing: every operator then gives an empty result, not an error."""
     return spark.createDataFrame([], ROWS)
-
-
-def split_simple(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Phrases of plain words, and the others."""
-    simple = is_simple(F.col("phrase"))
-    return rows.where(simple), rows.where(~simple)

@@ -104,12 +104,16 @@ def compare(pairs: DataFrame, analysed: DataFrame) -> DataFrame:
     return both.select("pair_id", results.gap_arrays(F.col("resume"), F.col("job")).alias("g")).select("pair_id", "g.*")
 
 
-def build_dictionary(*corpora: DataFrame, settings: Settings = Settings(), stop_words: tuple[str, ...] | None = None) -> DataFrame:
+def canonical_mentions(raw: DataFrame, rows: DataFrame, key: str, vectors: DataFrame | None = None, skills: DataFrame | None = None, settings: Settings = Settings()) -> DataFrame:
+    """``key, skill, score, confidence, sources, place`` of raw mentions (``key, name, context``), under the thresholds and the cap of ``settings``."""
+    found = similarity.canonicalise(raw, rows, key, vectors=vectors, skills=skills, threshold=settings.normalizer_threshold, least=settings.fuzzy_ratio)
+    return similarity.merge_mentions(found, key, most=settings.normalizer_max_skills)
+
+
+def build_dictionary(*corpora: DataFrame, settings: Settings = Settings(), nouns: dic.Tagger | None = None) -> DataFrame:
     """``canonical, aliases`` mined from corpora, with the seeds merged in, then cleaned and filtered."""
-    corpus = unite(*corpora)
-    terms = voc.mine(corpus, min_df=settings.min_df, max_terms=settings.max_terms, **({"stop_words": stop_words} if stop_words is not None else {}))
-    mined = dic.merge_seeds(voc.as_dictionary(terms))
-    return dic.filter_entries(dic.clean_entries(mined))
+    terms = voc.mine(unite(*corpora), min_df=settings.min_df, max_terms=settings.max_terms, stop_words=settings.mining_words())
+    return dic.filter_entries(dic.clean_entries(dic.merge_seeds(voc.as_dictionary(terms))), nouns=nouns)
 
 
 def health() -> dict[str, str]:

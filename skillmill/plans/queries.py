@@ -75,7 +75,7 @@ def corpus_clean(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def corpus_union_sources(spark: SparkSession, d: str) -> DataFrame:
-    resume = resume_corpus(load(spark, d, "resume").select("row_id", "Resume_str"), "row_id")
+    resume = resume_corpus(load(spark, d, "resume").select("row_id", "Resume_str", "Resume_html"), "row_id")
     pdf = load(spark, d, "extract_text_from_pdf").select(F.lit("pdf").alias("source"), F.col("parse_id").cast("string").alias("doc_id"), tx.clean_corpus_text("text").alias("text"))
     docs = load(spark, d, "documents").select(F.lit("documents").alias("source"), F.col("doc_id").cast("string").alias("doc_id"), tx.clean_corpus_text("text").alias("text"))
     return unite(resume, pdf, docs).groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(F.length("text")).alias("n_chars"))
@@ -154,7 +154,7 @@ def canonicalise_mentions(spark: SparkSession, d: str) -> DataFrame:
     rows = dic.for_canonicalising(_reference(spark, d))
     vectors = similarity.encode(raw.select(tx.skill_norm("name").alias("name")).where("name <> ''"), "name", similarity.HashedEncoder)
     skills = similarity.encode(rows.select("canonical"), "canonical", similarity.HashedEncoder)
-    merged = similarity.merge_mentions(similarity.canonicalise(raw, rows, "file_id", vectors=vectors, skills=skills), "file_id")
+    merged = pipeline.canonical_mentions(raw, rows, "file_id", vectors, skills)
     return merged.withColumn("sources", F.array_join("sources", "|"))
 
 

@@ -274,7 +274,7 @@ UNION SELECT doc_id, canonical FROM sentences s JOIN rules r ON contains(s.sente
     "vocab_min_df": f"WITH {TERMS} SELECT term, tf, df FROM terms WHERE df >= 10",
     "corpus_clean": f"SELECT doc_id, {_clean_corpus('text')} AS text_clean FROM documents",
     "corpus_union_sources": f"""SELECT source, count(*) AS n_docs, sum(length(text))::BIGINT AS n_chars FROM (
-  SELECT 'resume' AS source, {_clean_corpus('Resume_str')} AS text FROM resume UNION ALL SELECT 'pdf', {_clean_corpus('text')} FROM extract_text_from_pdf UNION ALL SELECT 'documents', {_clean_corpus('text')} FROM documents
+  SELECT 'resume' AS source, {_clean_corpus(f'CASE WHEN Resume_str IS NOT NULL THEN Resume_str ELSE {_HTML} END')} AS text FROM resume UNION ALL SELECT 'pdf', {_clean_corpus('text')} FROM extract_text_from_pdf UNION ALL SELECT 'documents', {_clean_corpus('text')} FROM documents
 ) WHERE text <> '' GROUP BY source""",
     "html_to_text": f"SELECT row_id, {_strip(rf'''regexp_replace({_HTML}, '{WS}+', ' ', 'g')''')} AS text FROM resume WHERE Resume_html IS NOT NULL",
     "page_clean": f"SELECT row_id, regexp_replace({_PAGE}, '(?m)^{WS}+|{WS}+$', '', 'g') AS text FROM resume WHERE Resume_str IS NOT NULL",

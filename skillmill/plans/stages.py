@@ -16,7 +16,7 @@ from ..sources.tables import corpus_of, read_dictionary, unite, write_dictionary
 def mine(spark: SparkSession, raw: str, out: str, settings: Settings = Settings()) -> DataFrame:
     """Corpora of a folder -> dictionary with the seeds merged in. An empty corpus leaves the seeds."""
     corpus = unite(corpus_of(spark, raw, settings.html_max_files, settings.pdf_max_files))
-    entries = dic.merge_seeds(voc.as_dictionary(voc.mine(corpus, min_df=settings.min_df, max_terms=settings.max_terms)))
+    entries = dic.merge_seeds(voc.as_dictionary(voc.mine(corpus, min_df=settings.min_df, max_terms=settings.max_terms, stop_words=settings.mining_words())))
     write_dictionary(entries, out, ascii_only=True)
     return entries
 

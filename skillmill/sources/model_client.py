@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import os
 import time
@@ -14,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions.text import request_body
 
 # Bounds of waiting and trying.
@@ -35,7 +37,7 @@ class Response:
 Transport = Callable[[bytes], Response]
 
 
-def http_transport(url: str, key_variable: str, timeout: float = 60.0) -> Transport:
+def http_transport(url: str, key_variable: str, timeout: float = Settings.llm_timeout_seconds) -> Transport:
     """A transport that posts to ``url`` with the key found in the environment of the worker."""
 
     def send(payload: bytes) -> Response:
@@ -65,7 +67,7 @@ def wait_before(attempt: int, tries: int, response: Response | None, base_429: f
     return min(2.0 ** (attempt - 1), LONGEST_WAIT)
 
 
-def ask(prompt: str | None, transport: Transport, tries: int = 5, sleep: Callable[[float], None] = time.sleep) -> str:
+def ask(prompt: str | None, transport: Transport, tries: int = 5, sleep: Callable[[float], None] = time.sleep, base_429: float = 10.0) -> str:
     """The answer's text. Every HTTP error, empty answer and lost connection is tried again."""
     if not prompt or not prompt.strip():
         raise ModelError("empty prompt")
@@ -81,9 +83,9 @@ def ask(prompt: str | None, transport: Transport, tries: int = 5, sleep: Callabl
                 last = "empty answer"
             else:
                 last = f"HTTP {response.status}: " + " ".join(response.body[:300].split())
-        except OSError as e:
+        except (OSError, http.client.HTTPException) as e:  # the second where a body is cut off
             last = type(e).__name__
-        if pause := wait_before(attempt, tries, response):
+        if pause := wait_before(attempt, tries, response, base_429):
             sleep(pause)
     raise ModelError(last)
 
@@ -95,7 +97,7 @@ def answer_text(body: str) -> str:
         return ""
 
 
-def ask_all(prompts: DataFrame, transport: Callable[[], Transport], key: str = "doc_id", prompt: str = "prompt", tries: int = 5, parallel: int = 8) -> DataFrame:
+def ask_all(prompts: DataFrame, transport: Callable[[], Transport], key: str = "doc_id", prompt: str = "prompt", settings: Settings = Settings(), parallel: int = 8) -> DataFrame:
     """``key, raw, error``: the answer to each prompt. Equal prompts are asked once; ``parallel`` partitions bound the calls at a time.
 
     A failure is a null ``raw`` with its ``error``; it fails no task. Null and blank prompts give an error.
@@ -104,13 +106,13 @@ def ask_all(prompts: DataFrame, transport: Callable[[], Transport], key: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         send = transport()
         for b in batches:
-            for p in b.column(0).to_pylist():
+            for p, h in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
-                    raw, error = ask(p, send, tries), None
+                    raw, error = ask(p, send, settings.llm_max_retries, base_429=settings.llm_429_backoff_seconds), None
                 except ModelError as e:
                     raw, error = None, str(e)
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.string()), pa.array([raw], pa.string()), pa.array([error], pa.string())], names=["p", "raw", "error"])
+                yield pa.RecordBatch.from_arrays([pa.array([h], pa.string()), pa.array([raw], pa.string()), pa.array([error], pa.string())], names=["h", "raw", "error"])
 
-    own = prompts.select(key, F.coalesce(F.col(prompt), F.lit("")).alias("p"))
-    answers = own.select("p").distinct().repartition(parallel).mapInArrow(run, "p string, raw string, error string")
-    return own.join(answers, "p").select(key, "raw", "error")
+    own = prompts.select(key, F.coalesce(F.col(prompt), F.lit("")).alias("p")).withColumn("h", F.sha2("p", 256))
+    answers = own.groupBy("h").agg(F.first("p").alias("p")).repartition(parallel).select("p", "h").mapInArrow(run, "h string, raw string, error string")
+    return own.drop("p").join(answers, "h").select(key, "raw", "error")

@@ -25,9 +25,11 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A .csv, .xlsx or .xls table with a header, all columns strings; other names are refused."""
+    """A .csv or .xlsx table with a header, all columns strings; other names are refused, among them .xls, the binary form of old workbooks."""
     low = path.lower()
-    if low.endswith((".xlsx", ".xls")):
+    if low.endswith(".xls"):
+        raise ValueError(f"a binary workbook, to be saved as .xlsx or .csv first: {path}")
+    if low.endswith(".xlsx"):
         return read_excel(spark, path)
     if low.endswith(".csv"):
         return spark.read.csv(path, header=True, multiLine=True, escape='"')

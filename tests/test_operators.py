@@ -131,6 +131,21 @@ def test_noun_check(spark):
     assert got == [True, False, False, False, True, False]
 
 
+def test_filter_with_a_tagger(spark):
+    """A tagger decides about names that look neither technical nor like a verb."""
+    e = entries(spark, {"account plan": ["account plan"], "broadly minded": ["broadly minded"], "docker": ["docker"]})
+    tags = lambda tokens: F.transform(tokens, lambda t: F.when(t.endswith("ly"), "RB").when(t == "minded", "VBN").otherwise("NN"))
+    got = {r.canonical for r in dic.filter_entries(e, nouns=dic.noun_tagger(tags)).collect()}
+    assert got == {"account plan", "docker"}
+    assert tuple(dic.filtering_stats(e, dic.noun_tagger(tags)).first()) == (3, 1, 2)
+
+
+def test_entries_keep_their_order_whatever_their_number(spark):
+    df = spark.createDataFrame([(1, {f"k{i}": ["a"] for i in range(5)}), (2**40, {"last": ["a"]})], "b bigint, m map<string,array<string>>")
+    got = dic.last_writer(dic.for_flat_map(dic.entries_of_map(df, "m", "b")))
+    assert {r.phrase: r.canonical for r in got.collect()}["a"] == "last"
+
+
 def test_seeds_profile_sample(spark):
     rows = dic.for_keywords(entries(spark, {"sql": ["sql", "tsql"], "zig": ["zig"]}))
     got = {r.canonical: r.aliases for r in dic.merge_seeds(rows).collect()}

@@ -117,7 +117,7 @@ def test_asking_each_prompt_once(spark):
         return lambda payload: mc.Response(200, '{"candidates":[{"content":{"parts":[{"text":"{\\"skills\\":[\\"SQL\\"]}"}]}}]}')
 
     prompts = spark.createDataFrame([(1, "a"), (2, "a"), (3, ""), (4, None)], "doc_id int, prompt string")
-    got = {r.doc_id: (r.raw, r.error) for r in mc.ask_all(prompts, transport, tries=1).collect()}
+    got = {r.doc_id: (r.raw, r.error) for r in mc.ask_all(prompts, transport, settings=Settings(llm_max_retries=1)).collect()}
     assert got == {1: ('{"skills":["SQL"]}', None), 2: ('{"skills":["SQL"]}', None), 3: (None, "empty prompt"), 4: (None, "empty prompt")}
 
 
@@ -206,3 +206,29 @@ def test_vector_hits_of_sentences(spark):
     got = {(r.doc_id, r.canonical): r.similarity for r in hits.collect()}
     assert set(got) == {(1, "machine learning"), (2, "machine learning"), (4, "machine learning"), (4, "sql")} and got[1, "machine learning"] > 0.999 > got[2, "machine learning"]
     assert {r.doc_id: r.embedding_skills for r in pipeline.analyse(pipeline.Inputs(docs, e, hits)).collect()} == {1: ["machine learning"], 2: ["machine learning"], 3: [], 4: ["machine learning", "sql"]}
+
+
+def test_pdf_with_object_streams_and_code_maps():
+    import zlib
+
+    from skillmill.sources.pdf import simple_extractor
+
+    cmap = b"begincmap 2 beginbfchar <0003> <0020> <0011> <00660069> endbfchar 1 beginbfrange <0024> <0026> <0041> <0030> <0031> [<0078> <0079>] endbfrange endcmap"
+    page = b"BT /F1 12 Tf [<0024000300250011>-20<0030>] TJ 0 -14 Td <00310026> Tj ET"
+    packed = b"<</Type /Page /Contents 9 0 R /Resources 5 0 R>> <</Font <</F1 6 0 R>>>> <</Type /Font /ToUnicode 8 0 R>>"
+    places = [0, packed.index(b"<</Font "), packed.index(b"<</Type /Font")]
+    head = " ".join(f"{n} {p}" for n, p in zip((4, 5, 6), places)).encode() + b" "
+    stream = lambda extra, data: b"<<" + extra + b"/Filter /FlateDecode>> stream\n" + zlib.compress(data) + b"\nendstream"
+    objects = {3: stream(b"/Type /ObjStm /N 3 /First %d " % len(head), head + packed), 8: stream(b"", cmap), 9: stream(b"", page)}
+    content = b"%PDF-1.5\n" + b"".join(b"%d 0 obj " % n + o + b" endobj\n" for n, o in objects.items())
+    assert simple_extractor(content) == [["A Bfix\nyC"]]
+    assert simple_extractor(b"%PDF-1.5\n1 0 obj <</Type /ObjStm /First x>> endobj 2 0 obj <</Type /Page /Contents 7 0 R>> endobj") == [[""]]
+
+
+def test_binary_workbooks_are_refused(spark):
+    import pytest
+
+    from skillmill.sources.tables import read_table
+
+    with pytest.raises(ValueError, match="binary workbook"):
+        read_table(spark, "/tmp/x.xls")
