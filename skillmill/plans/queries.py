@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..config import Settings
 from ..functions import text as tx
 from ..functions.levels import first_mention, level_of, searchable
 from ..operators import dictionary as dic
@@ -317,14 +319,59 @@ def request_payload(spark: SparkSession, d: str) -> DataFrame:
 def document_results(spark: SparkSession, d: str) -> DataFrame:
     """By all extractors: the vectors are those of the stand-in encoder, the canned model answer of a document names the mention of its number."""
     docs, entries = _docs(spark, d), _reference(spark, d)
-    raw = F.to_json(F.struct(F.array(F.col("skill_name"), F.upper("skill_name")).alias("skills")), {"ignoreNullFields": "false"})
-    answers = load(spark, d, "skill").where("skill_name is not null").select(F.col("mention_id").alias("doc_id"), raw.alias("raw")).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     vectors = pipeline.vector_hits(docs, entries, similarity.HashedEncoder)
-    out = pipeline.analyse(pipeline.Inputs(docs, entries, vectors, results.parse_flat(answers)))
+    out = pipeline.analyse(pipeline.Inputs(docs, entries, vectors, _canned(spark, d)))
+    lists = [F.array_join(c, "|").alias(c) for c in ("keyword_skills", "embedding_skills", "model_skills", "final_skills")]
+    return out.select("doc_id", *lists, F.array_join(F.transform("final_structured", lambda x: F.concat_ws(":", x["name"], x["level"])), "|").alias("final_structured"))
+
+
+def _canned(spark: SparkSession, d: str) -> DataFrame:
+    """Model answers in which a document names the skill mention of its number, twice in different case."""
+    raw = F.to_json(F.struct(F.array(F.col("skill_name"), F.upper("skill_name")).alias("skills")), {"ignoreNullFields": "false"})
+    answers = load(spark, d, "skill").where("skill_name is not null").select(F.col("mention_id").alias("doc_id"), raw.alias("raw"))
+    return results.parse_flat(answers.join(_docs(spark, d).select("doc_id"), "doc_id", "left_semi"))
+
+
+def _vector_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of documents and of entries are those of the same number in the table of embeddings."""
+    v = load(spark, d, "embeddings").select("vec_id", "embedding")
+    skills = load(spark, d, "canonical_skills").join(v, F.col("canonical_id") == F.col("vec_id")).select("canonical", F.col("embedding").alias("q"))
+    items = v.withColumnRenamed("vec_id", "doc_id").join(_docs(spark, d).select("doc_id"), "doc_id", "left_semi")
+    hits = similarity.similarities(items, skills, "doc_id", "embedding", "canonical", "q", 0.2)
+    return hits.join(dic.for_rules(_reference(spark, d)).select("canonical").distinct(), "canonical", "left_semi")
+
+
+@query
+def hybrid_rank(spark: SparkSession, d: str) -> DataFrame:
+    """The hybrid engine: rule hits united with vector hits, graded, ranked, the first 25 of each document."""
+    settings = replace(Settings(), similarity_threshold=0.2)
+    got = pipeline.hybrid(pipeline.Inputs(_docs(spark, d), _reference(spark, d), _vector_hits(spark, d)), settings)
+    return got.select("doc_id", "skill", F.round("score", 4).alias("score"), "level", "place")
+
+
+@query
+def hybrid_results(spark: SparkSession, d: str) -> DataFrame:
+    """All extractors with vectors and model answers that SQL can follow."""
+    settings = replace(Settings(), similarity_threshold=0.2)
+    out = pipeline.analyse(pipeline.Inputs(_docs(spark, d), _reference(spark, d), _vector_hits(spark, d), _canned(spark, d)), settings)
     lists = [F.array_join(c, "|").alias(c) for c in ("keyword_skills", "embedding_skills", "model_skills", "final_skills")]
     return out.select("doc_id", *lists, F.array_join(F.transform("final_structured", lambda x: F.concat_ws(":", x["name"], x["level"])), "|").alias("final_structured"))
 
 
+@query
+def canonical_by_vector(spark: SparkSession, d: str) -> DataFrame:
+    """Canonicalising by look-up, else nearest vector, the fuzzy stage left out; the vector of a name is that of its length's number."""
+    raw = _mentions(spark, d).select("file_id", F.col("skill_name").alias("name"), F.col("evidence_text").alias("context"))
+    rows = dic.for_canonicalising(_reference(spark, d))
+    v = load(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    names = raw.select(tx.skill_norm("name").alias("name")).where("name <> ''").distinct()
+    vectors = names.withColumn("vec_id", ((F.length("name") * 37) % 2000).cast("bigint")).join(v, "vec_id").select("name", "vector")
+    skills = load(spark, d, "canonical_skills").join(v, F.col("canonical_id") == F.col("vec_id")).select(tx.skill_norm("canonical").alias("canonical"), "vector")
+    settings = replace(Settings(), fuzzy_ratio=1.5, normalizer_threshold=0.25, normalizer_max_skills=10)
+    got = pipeline.canonical_mentions(raw, rows, "file_id", vectors, skills, settings)
+    return got.select("file_id", "skill", "score", F.round("confidence", 4).alias("confidence"), F.array_join("sources", "|").alias("sources"), "place")
+
+
 @query
 def mined_dictionary(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.build_dictionary(_docs(spark, d)).withColumn("aliases", F.array_join("aliases", "|"))

@@ -264,7 +264,74 @@ near AS (
 parts AS (SELECT doc_id, skill, first_at, names, CASE WHEN first_at < 0 THEN text ELSE substring(text, (greatest(first_at - 220, 0) + 1)::INT, (first_at + 220 - greatest(first_at - 220, 0))::INT) END AS part FROM near),
 snippets AS (SELECT doc_id, skill, first_at, names, {_collapsed('part')} AS hay FROM parts)"""
 
+#: The hybrid engine over the reference list: rules, vectors by number, levels near the first mention, the first 25 by score.
+_ENGINE = rf"""{KEYWORDS},
+{SENTENCES.strip()},
+rl AS (
+  SELECT DISTINCT {_strip(r"regexp_replace(lower(canonical), '[ \t]+', ' ', 'g')")} AS canonical, lower({_strip('p')}) AS phrase
+  FROM (SELECT canonical, unnest(known_aliases) AS p FROM canonical_skills WHERE known_aliases IS NOT NULL) WHERE {_strip('p')} <> ''
+),
+rule_hit AS MATERIALIZED (
+  SELECT DISTINCT doc_id, canonical FROM sentences s JOIN rl ON contains(s.sentence, rl.phrase) WHERE NOT regexp_full_match(rl.phrase, '[a-z0-9 ]+')
+  UNION SELECT DISTINCT doc_id, canonical FROM sentences s JOIN rl ON contains(regexp_replace(s.sentence, '{WS}+', ' ', 'g'), regexp_replace(rl.phrase, ' +', ' ', 'g'))
+  WHERE regexp_full_match(rl.phrase, '[a-z0-9 ]+') AND regexp_matches(regexp_replace(s.sentence, '{WS}+', ' ', 'g'), '(^|[^{WORD}])' || regexp_replace(rl.phrase, ' +', ' ', 'g') || '($|[^{WORD}])')
+),
+vec_hit AS MATERIALIZED (
+  SELECT d.vec_id AS doc_id, c.canonical, list_dot_product(d.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS s
+  FROM embeddings d JOIN documents o ON o.doc_id = d.vec_id, canonical_skills c JOIN embeddings e ON e.vec_id = c.canonical_id
+  WHERE list_dot_product(d.embedding::DOUBLE[], e.embedding::DOUBLE[]) >= 0.2 AND c.canonical IN (SELECT canonical FROM rl)
+),
+both_hits AS (
+  SELECT doc_id, canonical AS skill, bool_or(r) AS by_rule, max(s) AS s FROM (SELECT doc_id, canonical, true AS r, NULL::DOUBLE AS s FROM rule_hit UNION ALL SELECT doc_id, canonical, false, s FROM vec_hit) GROUP BY ALL
+),
+al AS (SELECT canonical AS skill, list_sort(list(DISTINCT phrase)) AS names FROM rl GROUP BY canonical),
+found_at AS (
+  SELECT h.*, text, coalesce(names, [skill]) AS names, coalesce(list_min(list_filter(list_transform(coalesce(names, [skill]), lambda a: instr({_collapsed('text')}, {_norm('a')})), lambda p: p > 0)) - 1, -1) AS first_at
+  FROM both_hits h LEFT JOIN al USING (skill) JOIN documents USING (doc_id)
+),
+near_text AS (SELECT *, {_collapsed("CASE WHEN first_at < 0 THEN text ELSE substring(text, (greatest(first_at - 220, 0) + 1)::INT, (first_at + 220 - greatest(first_at - 220, 0))::INT) END")} AS hay FROM found_at),
+graded AS (SELECT doc_id, skill, CASE WHEN by_rule THEN 2.0 + greatest(coalesce(s, 0.0), 0.0) ELSE s END AS score, {_level('hay', 'names')} AS level FROM near_text),
+ranked AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, level DESC, skill) AS place FROM graded) WHERE place <= 25)"""
+
+_CANNED = f"SELECT mention_id AS doc_id, {_strip('skill_name')} AS item FROM skill WHERE {_strip('skill_name')} <> '' AND mention_id IN (SELECT doc_id FROM documents)"
+
+_RESULTS = f"""{_ENGINE},
+model AS (SELECT DISTINCT * FROM ({_CANNED})),
+fm AS (
+  SELECT phrase, arg_max(canonical, (pos, canonical)) AS normal
+  FROM (SELECT DISTINCT lower({_strip('canonical')}) AS canonical, lower({_strip('p')}) AS phrase, canonical_id AS pos FROM (SELECT canonical, canonical_id, unnest(list_concat([canonical], known_aliases)) AS p FROM canonical_skills WHERE known_aliases IS NOT NULL))
+  WHERE phrase <> '' AND canonical <> '' GROUP BY phrase
+),
+all_hits AS (SELECT doc_id, canonical AS skill FROM kw_hits UNION ALL SELECT doc_id, skill FROM ranked UNION ALL SELECT doc_id, item FROM model),
+final AS (SELECT DISTINCT doc_id, coalesce(normal, p) AS skill FROM (SELECT doc_id, lower({_strip('skill')}) AS p FROM all_hits) LEFT JOIN fm ON fm.phrase = p WHERE p <> '' AND NOT {_in('coalesce(normal, p)', cfg.GENERIC_WORDS)}),
+structured AS (SELECT f.doc_id, f.skill, coalesce(r.level, 1) AS level FROM final f LEFT JOIN ranked r ON r.doc_id = f.doc_id AND r.skill = f.skill),
+l1 AS (SELECT doc_id, string_agg(canonical, '|' ORDER BY canonical) AS keyword_skills FROM kw_hits GROUP BY doc_id),
+l2 AS (SELECT doc_id, string_agg(skill, '|' ORDER BY skill) AS embedding_skills FROM ranked GROUP BY doc_id),
+l3 AS (SELECT doc_id, string_agg(item, '|' ORDER BY item) AS model_skills FROM model GROUP BY doc_id),
+l4 AS (SELECT doc_id, string_agg(skill, '|' ORDER BY skill) AS final_skills, string_agg(skill || ':' || level, '|' ORDER BY skill) AS final_structured FROM structured GROUP BY doc_id)"""
+
+_BY_VECTOR = rf"""
+cr AS (SELECT DISTINCT {_norm('canonical')} AS canonical, {_norm('p')} AS phrase FROM (SELECT canonical, unnest(list_concat([canonical], known_aliases)) AS p FROM canonical_skills WHERE known_aliases IS NOT NULL) WHERE {_strip('p')} <> ''),
+mention AS (SELECT file_id, {_strip('skill_name')} AS source, {_norm('skill_name')} AS name, {_context('evidence_text')} AS score FROM skill WHERE {_strip('skill_name')} <> ''),
+sv AS (SELECT {_norm('canonical')} AS canonical, embedding::DOUBLE[] AS q FROM canonical_skills JOIN embeddings ON canonical_id = vec_id),
+nv AS (SELECT name, embedding::DOUBLE[] AS v FROM (SELECT DISTINCT name FROM mention) JOIN embeddings ON vec_id = (length(name) * 37) % 2000),
+near_v AS (SELECT name, arg_min(canonical, (-s, canonical)) AS near, max(s) AS s FROM (SELECT name, canonical, list_dot_product(v, q) AS s FROM nv, sv) GROUP BY name),
+ruled AS (SELECT DISTINCT name, coalesce((SELECT min(canonical) FROM cr WHERE canonical = name), (SELECT min(canonical) FROM cr WHERE phrase = name)) AS rule FROM mention),
+placed_at AS (
+  SELECT file_id, source, m.score, coalesce(rule, CASE WHEN n.s >= 0.25 THEN near END) AS skill, rule, n.s, nv.v FROM mention m JOIN ruled USING (name) LEFT JOIN near_v n USING (name) LEFT JOIN nv USING (name)
+),
+sure AS (SELECT file_id, source, score, p.skill, CASE WHEN rule IS NOT NULL THEN coalesce(list_dot_product(v, q), 0.0) ELSE s END AS confidence FROM placed_at p LEFT JOIN sv ON sv.canonical = p.skill WHERE p.skill IS NOT NULL),
+merged_v AS (
+  SELECT file_id, skill, (CASE WHEN count(*) > 1 THEN least(3, max(score) + count(*) - 1) ELSE max(score) END)::INT AS score, max(confidence) AS confidence, array_to_string(list_sort(list(DISTINCT source)), '|') AS sources FROM sure GROUP BY file_id, skill
+),
+placed_v AS (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY confidence DESC, score DESC, skill) AS place FROM merged_v)"""
+
 SQL: dict[str, str] = {
+    "hybrid_rank": f"WITH {_ENGINE} SELECT doc_id, skill, round(score, 4) AS score, level, place FROM ranked",
+    "hybrid_results": f"""WITH {_RESULTS}
+SELECT doc_id, coalesce(keyword_skills, '') AS keyword_skills, coalesce(embedding_skills, '') AS embedding_skills, coalesce(model_skills, '') AS model_skills, coalesce(final_skills, '') AS final_skills, coalesce(final_structured, '') AS final_structured
+FROM documents LEFT JOIN l1 USING (doc_id) LEFT JOIN l2 USING (doc_id) LEFT JOIN l3 USING (doc_id) LEFT JOIN l4 USING (doc_id)""",
+    "canonical_by_vector": f"WITH {_BY_VECTOR.strip()} SELECT file_id, skill, score, round(confidence, 4) AS confidence, sources, place FROM placed_v WHERE place <= 10",
     "keyword_match": f"WITH {KEYWORDS} SELECT doc_id, canonical FROM kw_hits",
     "keyword_top": f"WITH {KEYWORDS} SELECT canonical, count(*) AS n_docs FROM kw_hits GROUP BY canonical ORDER BY n_docs DESC, canonical LIMIT 50",
     "rule_match": f"""WITH {_RULES}
