@@ -7,9 +7,25 @@ from skillmill.llm import canonical as ca
 REF = [(1, "daprorsitrn", []), (2, "livestock scheduling", ["lsk3"]), (3, "stetmeallt.lab", ["setmx"]), (4, "grijen flow", None), (5, "niklijuv++", []), (6, "ledger forecasting", []), (7, "tunnel brokerage", ["haekilulnd kit"]), (8, "bakery draughting", [])]
 
 
+IDLE = frozenset("certified in of good skills".split())
+
+
+class Plain:
+    """The answer for one entry, with repairs found by comparing all words."""
+
+    def __init__(self, rows):
+        self.ref = ca.Reference(rows, IDLE)
+
+    def name(self, entry):
+        parts = self.ref._split(entry)
+        tokens, cuts = [t for t, _ in parts], [c for _, c in parts]
+        near = lambda probe: [(w, d) for w in self.ref.repairable() if (d := ca.osa(probe, w, ca.allowed(len(w)))) <= ca.allowed(len(w))]
+        return self.ref.name(tokens, cuts, {p: near(p) for p in self.ref.probes(tokens, cuts)})
+
+
 @pytest.fixture(scope="module")
 def ref():
-    return ca.Reference(REF)
+    return Plain(REF)
 
 
 @pytest.mark.parametrize(
@@ -28,19 +44,33 @@ def test_entries(ref, entry, want):
         assert ref.name(entry) == want
 
 
-def test_blank(ref):
-    assert ref.name(None) is None and ref.name("") is None and ref.name(" \t") is None
-    assert ca.Reference([]).name("x") == -1
-
-
-def test_near_words_against_all(ref):
-    """The index of left-out characters finds what comparing all words finds."""
+def test_near_words_against_all(spark):
+    """The join on left-out characters finds what comparing all words finds."""
     rng = random.Random(1)
-    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(3, 9))) for _ in range(120)})
-    near = ca._Near(iter(words))
-    for _ in range(400):
+    words, probes = misspelt(rng, 3, 9)
+    got = ca.near_words(spark.createDataFrame([(p,) for p in probes], "probe string"), spark.createDataFrame([(w,) for w in words], "word string"), 9)
+    want = sorted((p, w, d) for p in probes for w in words if (d := ca.osa(p, w, 9)) <= ca.allowed(len(w)))
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 100
+
+
+def test_names_written_together_against_all():
+    rng = random.Random(2)
+    words, probes = misspelt(rng, 8, 22)
+    together = ca.Together(words)
+    found = 0
+    for p in probes:
+        want = sorted((w, d) for w in words if (d := ca.osa(p, w, 9)) <= ca.allowed_together(len(w)))
+        assert together.find(p) == want
+        found += len(want)
+    assert found > 100
+
+
+def misspelt(rng, lo, hi):
+    words = sorted({"".join(rng.choice("abcde") for _ in range(rng.randint(lo, hi))) for _ in range(100)})
+    probes = set()
+    for _ in range(300):
         w = list(rng.choice(words))
-        for _ in range(rng.randint(0, 3)):
+        for _ in range(rng.randint(0, 4)):
             k = rng.randrange(len(w) + 1)
             op = rng.random()
             if op < 0.3 and len(w) > 1:
@@ -49,8 +79,24 @@ def test_near_words_against_all(ref):
                 w.insert(k, rng.choice("abcde"))
             elif k < len(w) - 1:
                 w[k], w[k + 1] = w[k + 1], w[k]
-        w = "".join(w)
-        assert near.find(w) == [(x, d) for x in words if (d := ca.osa(w, x, 9)) <= ca.allowed(len(x))]
+        probes.add("".join(w))
+    return words, sorted(probes)
+
+
+def test_idle_words_are_learned(spark, ref, monkeypatch):
+    """A word beside many names weighs nothing, one beside few makes another name; rows are answered by broadcast and by shuffle."""
+    from skillmill import session
+
+    reference = spark.createDataFrame(REF, "canonical_id bigint, canonical string, known_aliases array<string>")
+    names = [n for _, n, _ in REF]
+    texts = [f"certified in {n}" for n in names] + [f"{n} suite" for n in (names[0], names[2])] + ["certified in daprosritrn", "nothing"] + ["scheduling, livestock"] * 40
+    rows = [("s", i, t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "src string, row_id bigint, entry string")
+    want = [i for i, _, _ in REF] + [-1, -1] + [1, -1] + [2] * 40
+    for most in (200_000, 5):
+        monkeypatch.setattr(session, "SENT_ROWS", most)
+        got = {r.row_id: r.canonical_id for r in ca.map_entries(df, reference, ["src", "row_id"]).collect()}
+        assert [got[i] for i in range(len(texts))] == want
 
 
 def test_osa():
