@@ -236,11 +236,18 @@ def p2_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups}
-SQL: dict[str, str] = {
-    "p2_found": """
-WITH toks AS (SELECT row_id, regexp_extract_all(lower(Resume_str), '[a-z0-9]+') AS t FROM resume WHERE Resume_str IS NOT NULL),
+_PAIRS = """
+WITH RECURSIVE toks AS (SELECT row_id, regexp_extract_all(lower(Resume_str), '[a-z0-9]+') AS t FROM resume WHERE Resume_str IS NOT NULL),
 sh AS (SELECT DISTINCT row_id, unnest(list_transform(range(1, len(t) - 1), lambda i: t[i] || ' ' || t[i + 1] || ' ' || t[i + 2])) AS s FROM toks WHERE len(t) >= 20),
 n AS (SELECT row_id, count(*) AS n FROM sh GROUP BY row_id),
-o AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.row_id < b.row_id GROUP BY ALL)
-SELECT row_id_a, row_id_b FROM o JOIN n na ON na.row_id = row_id_a JOIN n nb ON nb.row_id = row_id_b WHERE o / (na.n + nb.n - o) >= 0.6"""
+o AS (SELECT a.row_id AS row_id_a, b.row_id AS row_id_b, count(*) AS o FROM sh a JOIN sh b ON a.s = b.s AND a.row_id < b.row_id GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT row_id_a, row_id_b FROM o JOIN n na ON na.row_id = row_id_a JOIN n nb ON nb.row_id = row_id_b WHERE o / (na.n + nb.n - o) >= 0.6)"""
+SQL: dict[str, str] = {
+    "p2_found": f"{_PAIRS} SELECT row_id_a, row_id_b FROM pairs",
+    "p2_groups": f"""{_PAIRS},
+ways AS MATERIALIZED (SELECT row_id_a AS a, row_id_b AS b FROM pairs UNION ALL SELECT row_id_b, row_id_a FROM pairs),
+reached AS (SELECT row_id AS node, row_id AS low FROM resume UNION SELECT w.b, r.low FROM reached r JOIN ways w ON w.a = r.node AND r.low < w.b),
+roots AS (SELECT node, min(low) AS group_id FROM reached GROUP BY node),
+links AS (SELECT a, count(*) AS n FROM ways GROUP BY a)
+SELECT node AS row_id, group_id, coalesce(n, 0) AS n_links FROM roots LEFT JOIN links ON a = node""",
 }
