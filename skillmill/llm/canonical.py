@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import collected, cut, load, settled, spread
+from ..session import collected, cut, load, settled, spread, spread_by
 from .sameform import same_form
 
 #: The reference list goes to every worker, so its size is checked.
@@ -273,7 +273,7 @@ def map_entries(df: DataFrame, reference: DataFrame, keys: list[str], entry: str
             parts = [Reference._split(e) for e in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[t for t, _ in x] for x in parts], pa.list_(pa.string())), pa.array([[c for _, c in x] for x in parts], pa.list_(pa.bool_()))], names=["entry", "n", "tokens", "cuts"])
 
-    entries = cut(counted.mapInArrow(split, "entry string, n bigint, tokens array<string>, cuts array<boolean>"))
+    entries = cut(spread_by(counted, "entry").mapInArrow(split, "entry string, n bigint, tokens array<string>, cuts array<boolean>"))
     bare = reference_of(frozenset())
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
