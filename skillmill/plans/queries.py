@@ -315,6 +315,31 @@ def request_payload(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(tx.request_payload(tx.flat_prompt("text"))).alias("payload_md5"))
 
 
+@query
+def prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Both requests of every document, by hash."""
+    return _docs(spark, d).select("doc_id", F.md5(tx.structured_prompt("text")).alias("structured_md5"), F.md5(tx.flat_prompt("text")).alias("flat_md5"))
+
+
+@query
+def embedding_inputs(spark: SparkSession, d: str) -> DataFrame:
+    return _mentions(spark, d).select("mention_id", tx.embedding_input("skill_name", "evidence_text").alias("input"))
+
+
+@query
+def alias_patterns(spark: SparkSession, d: str) -> DataFrame:
+    phrases = dic.for_keywords(_builds(spark, d)).select("phrase").distinct()
+    return phrases.select("phrase", tx.alias_pattern("phrase").alias("pattern"))
+
+
+@query
+def answer_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The text inside a canned response of each mention, and the line that a failed one would be logged as."""
+    part = F.struct(F.array(F.struct(F.col("evidence_text").alias("text"))).alias("parts"))
+    body = F.to_json(F.struct(F.array(F.struct(part.alias("content"))).alias("candidates")))
+    return _mentions(spark, d).select("mention_id", tx.response_text(body).alias("text"), tx.short_error(F.col("mention_id") % 600, "evidence_text").alias("error"))
+
+
 @query
 def document_results(spark: SparkSession, d: str) -> DataFrame:
     """By all extractors: the vectors are those of the stand-in encoder, the canned model answer of a document names the mention of its number."""

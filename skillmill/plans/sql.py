@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .. import config as cfg
+from ..functions import text as tx
 
 # ---------------------------------------------------------------- pieces
 
@@ -19,6 +20,10 @@ def _norm(e: str) -> str:
     return rf"regexp_replace({_lower(_strip(e))}, '{WS}+', ' ', 'g')"
 
 
+def _quote(text: str) -> str:
+    return text.replace("'", "''")
+
+
 def _list(words: tuple[str, ...]) -> str:
     return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
 
@@ -366,6 +371,13 @@ united AS (SELECT * FROM rows UNION SELECT * FROM seeds UNION SELECT canonical,
 SELECT canonical, array_to_string(list_sort(list(DISTINCT phrase)), '|') AS aliases FROM united GROUP BY canonical""",
     "mined_dictionary": f"WITH {MINED} SELECT canonical, array_to_string(aliases, '|') AS aliases FROM filtered",
     "profile_top": "SELECT canonical, len(known_aliases) AS n_aliases, array_to_string(known_aliases[1:5], ', ') AS preview FROM canonical_skills WHERE known_aliases IS NOT NULL ORDER BY canonical LIMIT 50",
+    "prompts": f"SELECT doc_id, md5('{_quote(tx.STRUCTURED_HEAD)}' || {_strip("coalesce(text, '')")} || chr(10)) AS structured_md5, md5('{_quote(tx.FLAT_HEAD)}' || {_strip("coalesce(text, '')")} || chr(10)) AS flat_md5 FROM documents",
+    "request_payload": f"""SELECT doc_id, md5('{{"contents":[{{"parts":[{{"text":' || to_json('{_quote(tx.FLAT_HEAD)}' || {_strip("coalesce(text, '')")} || chr(10))::VARCHAR || '}}]}}],"generationConfig":{{"temperature":0.0,"responseMimeType":"application/json"}}}}') AS payload_md5 FROM documents""",
+    "embedding_inputs": f"SELECT mention_id, {_strip("coalesce(skill_name, '') || '. ' || coalesce(evidence_text, '')")} AS input FROM skill",
+    "alias_patterns": rf"""WITH {BUILDS}, p AS (SELECT DISTINCT lower({_strip('p')}) AS phrase FROM (SELECT canonical, unnest(list_concat([canonical], coalesce(aliases, []))) AS p FROM builds) WHERE {_strip('p')} <> '' AND {_strip('canonical')} <> '')
+SELECT phrase, CASE WHEN regexp_full_match(phrase, '[a-z0-9 ]+') THEN '\b' || regexp_replace(phrase, ' +', '\\s+', 'g') || '\b' END AS pattern FROM p""",
+    "answer_texts": rf"""SELECT mention_id, coalesce({_strip('evidence_text')}, '') AS text,
+  'HTTP ' || (mention_id % 600)::VARCHAR || CASE WHEN {_strip(r"regexp_replace(substring(coalesce(evidence_text, ''), 1, 300), '[\r\n]+', ' ', 'g')")} <> '' THEN ': ' || {_strip(r"regexp_replace(substring(coalesce(evidence_text, ''), 1, 300), '[\r\n]+', ' ', 'g')")} ELSE '' END AS error FROM skill""",
     "embedding_threshold": f"WITH {VECTORS} SELECT vec_id, query_id, round(s, 4) AS similarity FROM sims WHERE s >= 0.2",
     "embedding_top1": f"""WITH {VECTORS}, best AS (SELECT vec_id, arg_min(query_id, (-s, query_id)) AS query_id, max(s) AS s FROM sims GROUP BY vec_id)
 SELECT vec_id, CASE WHEN s >= 0.2 THEN query_id ELSE -1 END AS query_id, round(s, 4) AS similarity FROM best""",
