@@ -42,8 +42,8 @@ _DIGIT = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _TIMES = "|".join(REPEATS)
 _SAID = rf"(?:(?:{_TIMES})[ -])?(?:{_DIGIT})"
 _BREAK = r"(?:, ?|[ .-])"
-#: Digits said one by one, numerals among them: a space, hyphen, full stop or comma apart.
-_SPELLED = re.compile(rf"(?<![\w.-])(?:\+?\d{{1,4}}{_BREAK})*{_SAID}(?:{_BREAK}(?:{_SAID}|\d{{1,4}}))+(?![\w-])", re.I)
+#: Digits said one by one, numerals among them: a space, hyphen, full stop or comma apart. No number has more than fifteen digits.
+_SPELLED = re.compile(rf"(?<![\w.-])(?:\+?\d{{1,4}}{_BREAK}){{0,15}}{_SAID}(?:{_BREAK}(?:{_SAID}|\d{{1,4}}))+(?![\w-])", re.I)
 _SAYING = re.compile(rf"(?:(?P<times>{_TIMES})[ -])?(?P<word>{_DIGIT})|(?P<plain>[+\d])", re.I)
 #: A number is said if there are so many words of digits, and so many digits in all.
 SAID_WORDS, SAID_DIGITS = 3, 6
@@ -367,7 +367,8 @@ class Detector:
             if not letters:
                 continue
             for lo in dict.fromkeys((m.start() - len(letters.group()), m.start() if letters.group()[-1:] == " " else m.start() - len(letters.group()))):
-                if (v := _LABELLED.match(t, lo)) and sum(c.isdigit() for c in v.group()) >= 5 and _LABEL.search(t[_label_from(t, lo) : lo]):
+                # the label first: it is short, while what may follow one can be as long as the text
+                if _LABEL.search(t[_label_from(t, lo) : lo]) and (v := _LABELLED.match(t, lo)) and sum(c.isdigit() for c in v.group()) >= 5:
                     take(*v.span(), "ID")
                 elif (v := _BARE.match(t, lo)) and not _THING.search(t, max(0, lo - 30), lo):
                     take(*v.span(), "ID")

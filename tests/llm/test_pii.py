@@ -106,6 +106,15 @@ def test_a_verb_behind_a_titled_name(find):
     assert find("Mr Tanaka called\nx") == [("NAME", "Tanaka")]
 
 
+def test_long_runs_of_numbers_are_read_in_time(find):
+    import time
+
+    began = time.perf_counter()
+    find("one two three " + "1 " * 60_000)
+    find("SSN " + "12 34 " * 20_000)
+    assert time.perf_counter() - began < 20
+
+
 def test_many_spans_in_one_text(find):
     text = " ".join(f"u{i}@firm.com" for i in range(20_000))
     assert len(find(text)) == 20_000
