@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import load, spread
+from ..session import load, settled, spread
 
 #: A term in fewer records than this is rare; one in a larger share of the records than the second is common.
 FEWEST_ROWS, LARGEST_SHARE = 5, 0.4
@@ -43,7 +43,7 @@ def term_frequencies(records: DataFrame, terms: str = "terms", fewest_rows: int
     sums = counts.groupBy(*key, F.col("c.term").alias("term")).agg(F.sum("c.n").alias("n_occurrences"), F.count("*").alias("n_rows"))
     if by:
         total = records.groupBy(by).agg(F.count("*").alias("n_all"))  # one row for each value of ``by``
-        joined = sums.join(F.broadcast(total), by)
+        joined = sums.join(settled(total)[0], by)
     else:
         joined = sums.withColumn("n_all", F.lit(records.count()))
     return joined.select(
